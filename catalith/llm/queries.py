@@ -5,9 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..operators.times import asset_times
+from ..session import materialise
+from ..sources.tables import clean_fingerprint, current, table
 from .leakage import leaked_items
 from .pii import find_pii, redact
+from .survivors import best_records, most_common
+
+
+def _copies(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """Present assets with a fingerprint; values that cannot be right are null."""
+    assets = current(spark, d, "assets", "id", "fingerprint", "file_status", "file_size", "rating", "capture_time", "camera_model", "last_seen_at", *more)
+    present = asset_times(assets.where("file_status = 'present'").withColumn("fingerprint", clean_fingerprint("fingerprint")).where("fingerprint is not null"), table(spark, d, "camera_clocks"))
+    return materialise(
+        present.select(
+            "fingerprint", "id", "last_seen_at", F.when(F.col("rating").between(1, 5), F.col("rating").cast("bigint")).alias("rating"), F.when(F.col("file_size") > 0, F.col("file_size")).alias("file_size"),
+            F.col("instant_ms").alias("capture_ms"), "own_zone", *([F.col("camera_model")] if more else []), *more,
+        ), "copies",
+    )
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    copies = _copies(spark, d)
+    least = {"own_ms": F.when(F.col("own_zone"), F.col("capture_ms")), "other_ms": F.when(~F.col("own_zone"), F.col("capture_ms"))}
+    best = best_records(copies, "fingerprint", "id", "last_seen_at", ["capture_ms", "rating", "file_size"], least).where("members >= 2")
+    rated = F.filter("reps", lambda r: r["rating"].isNotNull())
+    last = F.array_max(F.transform(rated, lambda r: F.struct(r["recency"], r["trust"], r["rating"])))["rating"]
+    sizes = most_common(copies, "fingerprint", "file_size", "best_file_size")
+    return best.join(sizes, "fingerprint", "left").select(
+        "fingerprint", F.col("survivor").alias("survivor_id"), F.coalesce(last, F.lit(0)).alias("best_rating"), F.coalesce("best_file_size", F.lit(0)).alias("best_file_size"), F.coalesce("own_ms", "other_ms", F.lit(-1)).alias("best_capture_ms")
+    )
+
+
+def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """The surviving record of each group, its gaps filled from successive dominance layers."""
+    fields = ["capture_ms", "rating", "file_size", "camera_model", "lens_model", "color_label"]
+    best = best_records(_copies(spark, d, "lens_model", "color_label"), "fingerprint", "id", "last_seen_at", fields)
+    return best.where("members >= 2").select("fingerprint", F.col("survivor").alias("survivor_id"), "members", "skyline", *fields)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -29,5 +63,5 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redact(docs, find_pii(docs, table(spark, d, "name_parts")))
 
 
-QUERIES = {"p7_found": p7_found, "p7_items": p7_items, "p9_found": p9_found, "p9_redacted": p9_redacted}
+QUERIES = {"p3_found": p3_found, "p3_survivors": p3_survivors, "p7_found": p7_found, "p7_items": p7_items, "p9_found": p9_found, "p9_redacted": p9_redacted}
 ORACLES: dict[str, str] = {}
