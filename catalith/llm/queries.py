@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from ..operators.times import asset_times
 from ..session import materialise
 from ..sources.tables import clean_fingerprint, current, table
+from .clusters import similarity_clusters, typical_members
 from .leakage import leaked_items
+from .neighbours import most_similar
 from .pii import find_pii, redact
 from .survivors import best_records, most_common
+from .vectors import current_vectors
 
 
 def _copies(spark: SparkSession, d: str, *more: str) -> DataFrame:
@@ -44,6 +47,30 @@ def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
     return best.where("members >= 2").select("fingerprint", F.col("survivor").alias("survivor_id"), "members", "skyline", *fields)
 
 
+def _looks(spark: SparkSession, d: str) -> DataFrame:
+    tone = table(spark, d, "tone_features").where("algorithm_version = 'tone-v3' and brightness_mean between 0 and 1").groupBy(F.col("asset_id").alias("id")).agg(F.max("brightness_mean").alias("brightness"))
+    colour = table(spark, d, "color_features").where("saturation_mean between 0 and 1").groupBy(F.col("asset_id").alias("id")).agg(F.max("saturation_mean").alias("saturation"))
+    return materialise(current_vectors(spark, d).join(tone, "id").join(colour, "id").select("id", "vec", "brightness", "saturation"), "looks")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return similarity_clusters(_looks(spark, d))
+
+
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    base = _looks(spark, d)
+    return typical_members(base, materialise(similarity_clusters(base), "clusters"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    near = most_similar(current_vectors(spark, d))
+    return near.select(F.least("id", "neighbour").alias("asset_a"), F.greatest("id", "neighbour").alias("asset_b")).distinct()
+
+
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return most_similar(current_vectors(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -63,5 +90,5 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redact(docs, find_pii(docs, table(spark, d, "name_parts")))
 
 
-QUERIES = {"p3_found": p3_found, "p3_survivors": p3_survivors, "p7_found": p7_found, "p7_items": p7_items, "p9_found": p9_found, "p9_redacted": p9_redacted}
+QUERIES = {"p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p4_clusters": p4_clusters, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_found": p7_found, "p7_items": p7_items, "p9_found": p9_found, "p9_redacted": p9_redacted}
 ORACLES: dict[str, str] = {}
