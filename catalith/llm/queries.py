@@ -10,6 +10,7 @@ from ..session import materialise
 from ..sources.tables import clean_fingerprint, current, table
 from .clusters import similarity_clusters, typical_members
 from .leakage import leaked_items
+from .mixing import mix
 from .neighbours import most_similar
 from .pii import find_pii, redact
 from .survivors import best_records, most_common
@@ -81,6 +82,14 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("containment").alias("most_contained"), F.count_if(F.col("containment") == 1.0).alias("whole"))
 
 
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return find_pii(table(spark, d, "documents"), table(spark, d, "name_parts")).select("doc_id", "pii_kind", "pii_text").distinct()
 
@@ -90,5 +99,5 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redact(docs, find_pii(docs, table(spark, d, "name_parts")))
 
 
-QUERIES = {"p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p4_clusters": p4_clusters, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_found": p7_found, "p7_items": p7_items, "p9_found": p9_found, "p9_redacted": p9_redacted}
+QUERIES = {"p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p4_clusters": p4_clusters, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_found": p7_found, "p7_items": p7_items, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_redacted": p9_redacted}
 ORACLES: dict[str, str] = {}
