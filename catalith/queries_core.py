@@ -79,7 +79,7 @@ UNION ALL SELECT DISTINCT 'collection_assets', c.collection_id, c.asset_id, c.ad
 FROM collection_assets c LEFT JOIN {_ASSETS} a ON a.id = c.asset_id WHERE c.asset_id IS NOT NULL AND (a.id IS NULL OR a.first_seen_at > c.added_at)"""
 
 _TREE = """SELECT '{0}' AS tree, id, max(CASE WHEN p IN (SELECT id FROM {1}) THEN p END) AS p FROM (
-  SELECT id, {2} AS p, row_number() OVER (PARTITION BY id ORDER BY {3} DESC, {2} DESC NULLS LAST) AS k FROM {1} WHERE id IS NOT NULL) WHERE k = 1 GROUP BY id"""
+  SELECT id, {2} AS p, row_number() OVER (PARTITION BY id ORDER BY {3} DESC NULLS LAST, {2} DESC NULLS LAST) AS k FROM {1} WHERE id IS NOT NULL) WHERE k = 1 GROUP BY id"""
 
 ORACLES = {
     "p1_found": f"""WITH RECURSIVE n AS ({_TREE.format("library", "libraries", "parent_library_id", "scan_generation")} UNION ALL {_TREE.format("collection", "collections", "parent_collection_id", "updated_at")}),

@@ -5,29 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: (key, column whose greatest value marks the current row)
-VERSIONED = {"libraries": ("id", "scan_generation"), "collections": ("id", "updated_at"), "assets": ("id", "last_seen_scan")}
+#: Key, the column whose greatest value marks the current row, and what decides between different rows of one version.
+VERSIONED = {"libraries": ("id", "scan_generation", ("parent_library_id", "name", "display_order")), "collections": ("id", "updated_at", ("parent_collection_id", "name", "display_order")), "assets": ("id", "last_seen_scan", ())}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def latest(df: DataFrame, key: str, version: str, *columns: str) -> DataFrame:
-    """One row per non-null `key`: that with the greatest `version` (nulls least), ties by the remaining columns.
+def latest(df: DataFrame, key: str, version: str, *columns: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """One row per non-null `key`: that with the greatest `version` (nulls least), between equals the greatest `ties`.
 
     row_number() = 1 becomes a window group limit that runs before the shuffle, so a key with a third of all
     rows sends one row per map task. Exact copies count once. An empty table gives an empty table.
     """
-    keep = list(dict.fromkeys([key, version, *(columns or df.columns)]))
-    order = [F.col(version).desc_nulls_last(), *(F.col(c).desc_nulls_last() for c in keep if c not in (key, version) and dict(df.dtypes)[c] in ("string", "bigint", "int"))]
+    columns = columns or tuple(df.columns)
+    keep = list(dict.fromkeys([key, version, *ties, *columns]))
+    order = [F.col(c).desc_nulls_last() for c in (version, *ties)]
     ranked = df.where(F.col(key).isNotNull()).select(*keep).withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return ranked.where("_rank = 1").drop("_rank").select(*(columns or df.columns))
+    return ranked.where("_rank = 1").select(*columns)
 
 
 def current(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    key, version = VERSIONED[name]
-    return latest(table(spark, sf_dir, name), key, version, *columns)
+    key, version, ties = VERSIONED[name]
+    return latest(table(spark, sf_dir, name), key, version, *columns, ties=ties)
 
 
 def clean_fingerprint(column: str | Column) -> Column:
