@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Names that Windows reserves for devices.
@@ -68,7 +69,7 @@ def bad_segment(c: Column | str) -> Column:
     return F.when(c.rlike(r'[<>:"/\\|?*\x00-\x1f]') | c.rlike(r"[ .]$") | (c == ""), "invalid_segment").when(base.isin(RESERVED), "reserved_name").when(utf16_length(c) > 255, "segment_too_long")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def comparison_key(paths: pd.Series) -> pd.Series:
     """NFC, lower case, forward slashes, no slash at the end; normal forms are not among the built-in functions."""
     return paths.map(lambda p: None if p is None else unicodedata.normalize("NFC", p).lower().replace("\\", "/").rstrip("/"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -15,7 +15,12 @@ from .registry import Registry
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
-N = F.count(F.lit(1))
+
+
+def count_rows() -> Column:
+    return F.count(F.lit(1))
+
+
 
 _CANON = "CASE {0} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in CANONICAL.items()) + " ELSE {0} END"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -47,7 +52,7 @@ def _filtered(c: Catalog, **f) -> DataFrame:
 
 @query("a02_formats", "SELECT lower(extension) AS extension, lower(extension) IN ('jpg', 'jpeg', 'png', 'webp') AS supported, count(*) AS files FROM assets GROUP BY ALL")
 def a02(c: Catalog) -> DataFrame:
-    return c.raw("assets").groupBy(F.lower("extension").alias("extension")).agg(N.alias("files")).withColumn("supported", F.col("extension").isin("jpg", "jpeg", "png", "webp"))
+    return c.raw("assets").groupBy(F.lower("extension").alias("extension")).agg(count_rows().alias("files")).withColumn("supported", F.col("extension").isin("jpg", "jpeg", "png", "webp"))
 
 
 @query("a03_source_roots", "SELECT DISTINCT library_id, regexp_extract(relative_path, '^(.*)/[^/]*$', 1) AS directory, CAST(len(string_split(relative_path, '/')) - 1 AS INTEGER) AS depth FROM assets WHERE relative_path IS NOT NULL")
@@ -313,7 +318,7 @@ def c13(c: Catalog) -> DataFrame:
     tree = c.now_libraries.select("id", F.when(F.col("parent_relation") == "source", F.col("parent_library_id")).alias("parent"))
     held = c.members.join(c.now_assets.select(F.col("id").alias("asset_id"), "library_id"), "asset_id")
     outside = held.join(reach(tree, "id", "parent", 2).select(F.col("node").alias("library_id")), "library_id", "left_anti")
-    return outside.groupBy("collection_id").agg(N.alias("outside"))
+    return outside.groupBy("collection_id").agg(count_rows().alias("outside"))
 
 
 @query("c14_browse_tree", with_tables(f"SELECT 'collection' AS kind, id, parent_collection_id AS parent_id, row_number() OVER (ORDER BY id <> 1, display_order NULLS FIRST, {_LOWER.format('name')} NULLS FIRST, id) AS ordinal FROM now_collections UNION ALL SELECT 'source', id, parent_library_id, (SELECT count(*) FROM now_collections) + row_number() OVER (ORDER BY display_order NULLS FIRST, {_LOWER.format('name')} NULLS FIRST, id) FROM now_libraries", "now_collections", "now_libraries"))
@@ -330,7 +335,7 @@ def numbered(rows: DataFrame, order: list, as_: str) -> DataFrame:
     from .session import materialise
 
     sorted_ = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)), "numbered")
-    sizes = sorted_.groupBy("_part").agg(N.alias("_n"))  # one row per partition
+    sizes = sorted_.groupBy("_part").agg(count_rows().alias("_n"))  # one row per partition
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
     return sorted_.join(F.broadcast(offsets), "_part").withColumn(as_, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
 
@@ -341,7 +346,7 @@ def numbered(rows: DataFrame, order: list, as_: str) -> DataFrame:
 @query("d03_fanout_left", with_tables("SELECT l.id, count(a.id) AS assets, count(t.asset_id) AS measured FROM now_libraries l LEFT JOIN now_assets a ON a.library_id = l.id LEFT JOIN tone t ON t.asset_id = a.id GROUP BY l.id", "now_libraries", "now_assets", "tone"))
 def d03(c: Catalog) -> DataFrame:
     """Left outer fan-out, aggregated before the outer join so that a library of many assets sends one row."""
-    per = c.now_assets.join(c.tone.select(F.col("asset_id").alias("id"), F.lit(1).alias("m")), "id", "left").groupBy("library_id").agg(N.alias("assets"), F.count("m").alias("measured"))
+    per = c.now_assets.join(c.tone.select(F.col("asset_id").alias("id"), F.lit(1).alias("m")), "id", "left").groupBy("library_id").agg(count_rows().alias("assets"), F.count("m").alias("measured"))
     zero = F.lit(0).cast("bigint")
     return c.now_libraries.select("id").join(per, F.col("id") == F.col("library_id"), "left").select("id", F.coalesce("assets", zero).alias("assets"), F.coalesce("measured", zero).alias("measured"))
 
@@ -361,7 +366,7 @@ def d10(c: Catalog) -> DataFrame:
 @query("d17_null_safe", with_tables("SELECT a.id AS id, count(*) AS siblings FROM now_collections a JOIN now_collections b ON a.parent_collection_id IS NOT DISTINCT FROM b.parent_collection_id GROUP BY a.id", "now_collections"))
 def d17(c: Catalog) -> DataFrame:
     """Siblings, with roots as siblings of each other: counted per parent first, then joined null-safely."""
-    per = c.now_collections.groupBy("parent_collection_id").agg(N.alias("siblings")).withColumnRenamed("parent_collection_id", "p")
+    per = c.now_collections.groupBy("parent_collection_id").agg(count_rows().alias("siblings")).withColumnRenamed("parent_collection_id", "p")
     return c.now_collections.join(per, F.col("parent_collection_id").eqNullSafe(F.col("p"))).select("id", "siblings")
 
 
@@ -372,19 +377,19 @@ def d17(c: Catalog) -> DataFrame:
 def e01(c: Catalog) -> DataFrame:
     """Counts over each library and all below it: assets are counted per library before the closure multiplies them."""
     tree = c.now_libraries.select("id", F.when(F.col("parent_relation") == "source", F.col("parent_library_id")).alias("parent"))
-    per = c.now_assets.groupBy("library_id").agg(N.alias("assets"), F.count_if(F.col("file_status") == "present").alias("present"), F.count_if(F.col("file_status") == "missing").alias("missing"), F.count_if(F.col("semantic_status") != "completed").alias("pending"))
+    per = c.now_assets.groupBy("library_id").agg(count_rows().alias("assets"), F.count_if(F.col("file_status") == "present").alias("present"), F.count_if(F.col("file_status") == "missing").alias("missing"), F.count_if(F.col("semantic_status") != "completed").alias("pending"))
     sums = [F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("assets", "present", "missing", "pending")]
     return closure(tree, "id", "parent").join(per, F.col("node") == F.col("library_id"), "left").groupBy(F.col("ancestor").alias("library_id")).agg(*sums)
 
 
 @query("e02_count", _res("rating >= 3", "count(*) AS total"))
 def e02(c: Catalog) -> DataFrame:
-    return Q.select(c, AssetQuery(filter=AssetFilter(ratings=[3]))).agg(N.alias("total"))
+    return Q.select(c, AssetQuery(filter=AssetFilter(ratings=[3]))).agg(count_rows().alias("total"))
 
 
 @query("e03_collection_counts", with_tables("SELECT c.id, count(m.asset_id) AS members FROM now_collections c LEFT JOIN members m ON m.collection_id = c.id GROUP BY c.id", "now_collections", "members"))
 def e03(c: Catalog) -> DataFrame:
-    per = c.members.groupBy(F.col("collection_id").alias("id")).agg(N.alias("members"))
+    per = c.members.groupBy(F.col("collection_id").alias("id")).agg(count_rows().alias("members"))
     return c.now_collections.select("id").join(per, "id", "left").select("id", F.coalesce("members", F.lit(0)).alias("members"))
 
 
@@ -392,7 +397,7 @@ _DUP = "SELECT fingerprint, count(*) AS copies, CAST(sum(file_size) AS BIGINT) A
 
 
 def _duplicates(c: Catalog) -> DataFrame:
-    g = c.now_assets.where("fingerprint <> '' and file_status = 'present'").groupBy("fingerprint").agg(N.alias("copies"), F.sum("file_size").alias("bytes"), (F.sum("file_size") - F.max("file_size")).alias("reclaimable"))
+    g = c.now_assets.where("fingerprint <> '' and file_status = 'present'").groupBy("fingerprint").agg(count_rows().alias("copies"), F.sum("file_size").alias("bytes"), (F.sum("file_size") - F.max("file_size")).alias("reclaimable"))
     return g.where("copies > 1").orderBy(F.desc_nulls_last("reclaimable"), "fingerprint").limit(200)
 
 
@@ -411,7 +416,7 @@ def e05(c: Catalog) -> DataFrame:
 @query("e06_folder_rollup", with_tables("SELECT library_id, folder, count(*) AS assets FROM (SELECT library_id, unnest(list_transform(range(1, len(string_split(relative_path, '/'))), lambda i: list_aggregate(string_split(relative_path, '/')[1:i], 'string_agg', '/'))) AS folder FROM now_assets WHERE file_status = 'present') GROUP BY ALL", "now_assets"))
 def e06(c: Catalog) -> DataFrame:
     """Every asset once for each directory above it: counted per directory first, so only distinct directories are exploded."""
-    per = c.now_assets.where("file_status = 'present'").groupBy("library_id", T.parent_path("relative_path").alias("directory")).agg(N.alias("n"))
+    per = c.now_assets.where("file_status = 'present'").groupBy("library_id", T.parent_path("relative_path").alias("directory")).agg(count_rows().alias("n"))
     up = per.select("library_id", F.explode(T.ancestors(F.concat("directory", F.lit("/x")))).alias("folder"), "n")
     return up.groupBy("library_id", "folder").agg(F.sum("n").alias("assets"))
 
@@ -420,7 +425,7 @@ def e06(c: Catalog) -> DataFrame:
 def e07(c: Catalog) -> DataFrame:
     """Effective primary and every effective tag, repeated tags counted repeatedly."""
     x = classify.resolved(c)
-    return x.select(F.explode(F.concat(F.filter(F.array("effective_primary"), lambda p: p.isNotNull()), F.col("effective_tags"))).alias("label")).groupBy("label").agg(N.alias("assets"))
+    return x.select(F.explode(F.concat(F.filter(F.array("effective_primary"), lambda p: p.isNotNull()), F.col("effective_tags"))).alias("label")).groupBy("label").agg(count_rows().alias("assets"))
 
 
 @query("e08_distinct", with_tables("SELECT collection_id, count(DISTINCT a.library_id) AS libraries FROM members m JOIN now_assets a ON a.id = m.asset_id GROUP BY ALL", "members", "now_assets"))
@@ -441,8 +446,8 @@ def e15(c: Catalog) -> DataFrame:
     the rank; no list of values is collected.
     """
     x = c.tone.join(c.now_assets.select(F.col("id").alias("asset_id"), "camera_make"), "asset_id")
-    stats = x.groupBy("camera_make").agg(N.alias("n"), F.round(F.avg("brightness"), 6).alias("mean"), F.round(F.stddev_pop("brightness"), 6).alias("deviation"), F.round(F.avg((F.col("brightness") <= 0.15).cast("int")), 6).alias("dark"), F.round(F.avg((F.col("brightness") >= 0.9).cast("int")), 6).alias("bright"))
-    values = x.groupBy("camera_make", "brightness").agg(N.alias("k"))
+    stats = x.groupBy("camera_make").agg(count_rows().alias("n"), F.round(F.avg("brightness"), 6).alias("mean"), F.round(F.stddev_pop("brightness"), 6).alias("deviation"), F.round(F.avg((F.col("brightness") <= 0.15).cast("int")), 6).alias("dark"), F.round(F.avg((F.col("brightness") >= 0.9).cast("int")), 6).alias("bright"))
+    values = x.groupBy("camera_make", "brightness").agg(count_rows().alias("k"))
     upto = values.withColumn("upto", F.sum("k").over(Window.partitionBy("camera_make").orderBy("brightness")))
     ranked = upto.join(stats.select(F.col("camera_make").alias("m"), F.floor((F.col("n") - 1) * 0.9 + 0.5).alias("rank")), F.col("camera_make").eqNullSafe(F.col("m"))).where("upto > rank")
     p90 = ranked.groupBy("m").agg(F.min("brightness").alias("p90"))
@@ -455,15 +460,15 @@ def e16(c: Catalog) -> DataFrame:
 
     r, g, b = channels(F.col("dominant_color_rgb"))
     x = c.raw("color_features").where("dominant_color_rgb is not null").select(r.alias("r"), g.alias("g"), b.alias("b")).where("greatest(r, g, b) > least(r, g, b)")
-    return x.groupBy(F.floor(hue(F.col("r"), F.col("g"), F.col("b")) / 30).alias("bin")).agg(N.alias("pixels"))
+    return x.groupBy(F.floor(hue(F.col("r"), F.col("g"), F.col("b")) / 30).alias("bin")).agg(count_rows().alias("pixels"))
 
 
 @query("e24_latency", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, list_sort(list(value))[CAST(ceil((count(*) - 1) * 0.5) AS INTEGER) + 1] AS p50, list_sort(list(value))[CAST(ceil((count(*) - 1) * 0.95) AS INTEGER) + 1] AS p95 FROM events WHERE value IS NOT NULL GROUP BY ALL")
 def e24(c: Catalog) -> DataFrame:
     """Mean and the percentiles of rank ceil((n - 1) q), by counted distinct values as in e15."""
     x = c.raw("events").where("value is not null")
-    stats = x.groupBy("event_type").agg(N.alias("n"), F.round(F.avg("value"), 6).alias("mean"))
-    upto = x.groupBy("event_type", "value").agg(N.alias("k")).withColumn("upto", F.sum("k").over(Window.partitionBy("event_type").orderBy("value")))
+    stats = x.groupBy("event_type").agg(count_rows().alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    upto = x.groupBy("event_type", "value").agg(count_rows().alias("k")).withColumn("upto", F.sum("k").over(Window.partitionBy("event_type").orderBy("value")))
     j = upto.join(stats, "event_type")
     at = lambda q: F.min(F.when(F.col("upto") > F.ceil((F.col("n") - 1) * q), F.col("value")))
     return j.groupBy("event_type").agg(F.max("n").alias("n"), F.max("mean").alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"))
@@ -473,7 +478,7 @@ def e24(c: Catalog) -> DataFrame:
 def e27(c: Catalog) -> DataFrame:
     """Groups in the order in which a sorted list shows them first."""
     rows = numbered(c.now_assets.select("id", "color_label", T.ascii_lower("file_name").alias("name")), [F.asc_nulls_last("name"), F.col("id")], "k")
-    return rows.groupBy(F.coalesce("color_label", F.lit("unset")).alias("grp")).agg(N.alias("assets"), F.min("k").alias("first_place"))
+    return rows.groupBy(F.coalesce("color_label", F.lit("unset")).alias("grp")).agg(count_rows().alias("assets"), F.min("k").alias("first_place"))
 
 
 # ---- F: ranks
@@ -563,10 +568,10 @@ def h16(c: Catalog) -> DataFrame:
 @query("i01_union_all", with_tables("SELECT layer, count(*) AS n FROM labels GROUP BY ALL", "labels"))
 def i01(c: Catalog) -> DataFrame:
     parts = [c.labels.where(F.col("layer") == x) for x in ("semantic", "subject")]
-    return parts[0].unionByName(parts[1]).groupBy("layer").agg(N.alias("n"))
+    return parts[0].unionByName(parts[1]).groupBy("layer").agg(count_rows().alias("n"))
 
 
 @query("i03_insert_ignore", "SELECT collection_id, count(*) AS members FROM (SELECT collection_id, asset_id FROM collection_assets UNION SELECT 1, id FROM assets WHERE is_favorite AND id IS NOT NULL) WHERE collection_id IS NOT NULL AND asset_id IS NOT NULL GROUP BY ALL")
 def i03(c: Catalog) -> DataFrame:
     new = c.raw("assets").where("is_favorite and id is not null").select(F.lit(1).cast("bigint").alias("collection_id"), F.col("id").alias("asset_id"))
-    return c.members.unionByName(new).dropDuplicates(["collection_id", "asset_id"]).groupBy("collection_id").agg(N.alias("members"))
+    return c.members.unionByName(new).dropDuplicates(["collection_id", "asset_id"]).groupBy("collection_id").agg(count_rows().alias("members"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import colour as K
@@ -17,7 +17,12 @@ from .registry import Registry
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
-N = F.count(F.lit(1))
+
+
+def count_rows() -> Column:
+    return F.count(F.lit(1))
+
+
 _CANON = "CASE {0} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in CANONICAL.items()) + " ELSE {0} END"
 
 # ---- J: state. Old and new generation of an asset are its current row and the row before.
@@ -45,7 +50,7 @@ def j05(c: Catalog) -> DataFrame:
     """Closing a scan: assets whose last scan is older than the library's generation are missing."""
     gen = c.now_libraries.select(F.col("id").alias("library_id"), "scan_generation")
     x = c.now_assets.select("library_id", "last_seen_scan").join(gen, "library_id", "left")
-    return x.groupBy("library_id").agg(N.alias("seen"), F.count_if(F.col("scan_generation").isNull() | (F.col("last_seen_scan") < F.col("scan_generation"))).alias("missing"))
+    return x.groupBy("library_id").agg(count_rows().alias("seen"), F.count_if(F.col("scan_generation").isNull() | (F.col("last_seen_scan") < F.col("scan_generation"))).alias("missing"))
 
 
 @query("j06_skip_rule", with_tables("SELECT a.id, CASE WHEN a.scan_status <> 'indexed' THEN 'full' WHEN t.asset_id IS NULL THEN 'reanalyse' ELSE 'skip' END AS route FROM now_assets a LEFT JOIN tone t ON t.asset_id = a.id", "now_assets", "tone"))
@@ -60,7 +65,7 @@ _LATEST_EVENT = "(SELECT user_id, arg_max(event_type, (ts, event_id)) AS status,
 @query("j16_recovery", f"SELECT user_id, CASE status WHEN 'click' THEN 'interrupted' WHEN 'view' THEN 'cancelled' ELSE status END AS status, events FROM {_LATEST_EVENT}")
 def j16(c: Catalog) -> DataFrame:
     """Status log to latest status, with what a restart makes of the open ones (click stands for running, view for cancelling)."""
-    last = c.raw("events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type"))["event_type"].alias("s"), N.alias("events"))
+    last = c.raw("events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type"))["event_type"].alias("s"), count_rows().alias("events"))
     return last.select("user_id", F.when(F.col("s") == "click", "interrupted").when(F.col("s") == "view", "cancelled").otherwise(F.col("s")).alias("status"), "events")
 
 
@@ -85,7 +90,7 @@ def k03(c: Catalog) -> DataFrame:
     """How many roots hold each library's root, by components of the path."""
     rows = c.raw("libraries").select("id", F.col("source_identity_key").alias("k")).distinct()
     up = rows.select("id", F.explode(F.concat(T.ancestors("k"), F.array("k"))).alias("r"))
-    return up.join(rows.select(F.col("k").alias("r")).distinct(), "r").groupBy("id").agg(N.alias("holders"))
+    return up.join(rows.select(F.col("k").alias("r")).distinct(), "r").groupBy("id").agg(count_rows().alias("holders"))
 
 
 @query("k04_comparison_key", "SELECT DISTINCT id, rtrim(replace(lower(nfc_normalize(source_path)), '\\', '/'), '/') AS key FROM libraries")
@@ -108,7 +113,7 @@ def k11(c: Catalog) -> DataFrame:
     """Ordered replacement of words in a search text."""
     words = [("夜景", " night scene "), ("街拍", " street "), ("人像", " portrait ")]
     q = reduce(lambda x, w: F.replace(x, F.lit(w[0]), F.lit(w[1])), words, F.col("name"))
-    return c.raw("libraries").groupBy(q.alias("normalised")).agg(N.alias("n"))
+    return c.raw("libraries").groupBy(q.alias("normalised")).agg(count_rows().alias("n"))
 
 
 # ---- L: times
@@ -122,7 +127,7 @@ def l02(c: Catalog) -> DataFrame:
 @query("l05_dimensions", "SELECT first_seen_at[:4] AS year, first_seen_at[6:7] AS month, count(*) AS n FROM assets GROUP BY ALL")
 def l05(c: Catalog) -> DataFrame:
     ts = F.try_to_timestamp("first_seen_at", F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSX"))
-    return c.raw("assets").groupBy(F.date_format(ts, "yyyy").alias("year"), F.date_format(ts, "MM").alias("month")).agg(N.alias("n"))
+    return c.raw("assets").groupBy(F.date_format(ts, "yyyy").alias("year"), F.date_format(ts, "MM").alias("month")).agg(count_rows().alias("n"))
 
 
 @query("l06_epoch", "SELECT DISTINCT id, modified_at, strftime(make_timestamp(modified_at * 1000), '%Y-%m-%d %H:%M:%S') AS utc FROM assets WHERE modified_at IS NOT NULL")
@@ -244,7 +249,7 @@ def o05(c: Catalog) -> DataFrame:
     e = c.raw("embeddings")
     pairs = _candidates(c).join(e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), "a").join(e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "b")
     edges = pairs.where(V.cosine(F.col("x"), F.col("y")) >= 0.35).select("a", "b")
-    return connected_components(edges).withColumn("size", N.over(Window.partitionBy("component")))
+    return connected_components(edges).withColumn("size", count_rows().over(Window.partitionBy("component")))
 
 
 # ---- P: scores
@@ -301,7 +306,7 @@ def p_margins(c: Catalog) -> DataFrame:
     """Every margin of the sweep in one pass: conditional counts, no join with the margins."""
     top = F.sort_array("scores", asc=False)
     lead = _scores(c).select((top[0] - top[1]).alias("lead"))
-    counts = lead.agg(N.alias("all"), *[F.count_if(F.col("lead") >= m - 1e-12).alias(f"m{i}") for i, m in enumerate(evaluate.MARGINS)])
+    counts = lead.agg(count_rows().alias("all"), *[F.count_if(F.col("lead") >= m - 1e-12).alias(f"m{i}") for i, m in enumerate(evaluate.MARGINS)])
     rows = counts.select("all", F.explode(F.array(*[F.struct(F.lit(float(m)).alias("margin"), F.col(f"m{i}").alias("accepted")) for i, m in enumerate(evaluate.MARGINS)])).alias("x"))
     return rows.select("x.margin", "x.accepted", F.round(F.col("x.accepted") / F.col("all"), 6).alias("coverage"))
 
