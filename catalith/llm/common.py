@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from ..session import cores
 
 #: Invisible characters: format controls (soft hyphen, zero-width, joiners, bidi marks), variation selectors, grapheme joiner.
-INVISIBLE = regex.compile(r"[\p{Cf}͏ᅟᅠ឴឵᠋-᠏︀-️\U000e0100-\U000e01ef]+")
+INVISIBLE = regex.compile("[\\p{Cf}͏ᅟᅠ឴឵᠋-᠏︀-️\U000e0100-\U000e01ef]+")
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
