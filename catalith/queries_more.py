@@ -386,3 +386,25 @@ def s02(c: Catalog) -> DataFrame:
 
 
 ORACLES["s02_stream_batches"] = "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1"
+
+
+@query("o06_complete_link")
+def o06(c: Catalog) -> DataFrame:
+    """Components of similar records split into groups of mutually similar ones, greatest first."""
+    from .operators.grouping import complete_link
+
+    e = c.raw("embeddings")
+    pairs = _candidates(c).join(e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), "a").join(e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "b")
+    parts = connected_components(pairs.where(V.cosine(F.col("x"), F.col("y")) >= 0.35).select("a", "b"))
+    rows = parts.join(e.select(F.col("vec_id").alias("node"), F.col("embedding").alias("vector")), "node").select("component", F.col("node").alias("id"), "vector")
+    return complete_link(rows, 0.35)
+
+
+@query("m10_palette")
+def m10(c: Catalog) -> DataFrame:
+    """Palettes of pictures whose pixels are the dominant colours of 4096 neighbouring assets."""
+    from .operators.palette import palettes
+
+    rgb = F.conv(F.substring("dominant_color_rgb", 2, 6), 16, 10).cast("int")
+    x = c.raw("color_features").where("dominant_color_rgb is not null").select("asset_id", F.floor(F.col("asset_id") / 4096).alias("id"), rgb.alias("p")).distinct()
+    return palettes(x.groupBy("id").agg(F.collect_list("p").alias("pixels")))

@@ -1,4 +1,4 @@
-"""Session helpers: the shared folder, cutting lineage, and joins that survive hot keys."""
+"""Session helpers: the shared folder and cutting lineage."""
 
 from __future__ import annotations
 
@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors see: ``spark.checkpoint.dir``; a local one is set only where it is unset (tests)."""
+    """Folder that all executors see: ``spark.checkpoint.dir``; a local one is made only where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="catalith-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="catalith-")
+        _LOCAL[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
@@ -47,18 +50,3 @@ def discard(df: DataFrame) -> None:
 
 def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
-
-
-def spread(df: DataFrame, *keys: str, rows_each: int | None = None, total: int | None = None) -> DataFrame:
-    """Repartition for Python stages, where AQE would otherwise coalesce a small shuffle into one busy task."""
-    n = cores(df.sparkSession) * 2
-    if rows_each and total:
-        n = max(n, -(-total // rows_each))
-    return df.repartition(n, *keys)
-
-
-def frequent_keys(df: DataFrame, key: str, fraction: float = 1e-3) -> DataFrame:
-    """Keys that hold more than `fraction` of all rows; by definition at most 1/fraction of them, so they may be broadcast."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total), F.col("n") > F.lit(fraction) * F.col("total")).select(key)

@@ -14,7 +14,7 @@ def scan(spark: SparkSession, root: str, nested: list[str] | None = None, recurs
     """Snapshots of the image files below `root`: absolute_path, relative_path, file_name, extension, file_size, modified_at (ms), fingerprint.
 
     nested: roots below `root` that are registered on their own and left out. Other formats are left out by extension,
-    without regard to case. The fingerprint is the SHA-256 of the content, computed where the file is read.
+    without regard to case; empty files are not listed. The fingerprint is the SHA-256 of the content, computed where the file is read.
     """
     root = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root if recursive else root + "/*")
