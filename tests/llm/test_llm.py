@@ -116,6 +116,21 @@ def test_large_components_are_certified(spark, monkeypatch):
     assert len(got) == 90 and {r.cluster_id for r in got} == {1}
 
 
+def test_large_chains_are_parted_and_stay_similar(spark, monkeypatch):
+    import catalith.llm.clusters as module
+
+    monkeypatch.setattr(module, "WHOLE", 20)
+    angle = np.radians(np.arange(60) * 5.0)
+    x = np.zeros((60, 64), np.float32)
+    x[:, 0], x[:, 1] = np.cos(angle), np.sin(angle)
+    got = similarity_clusters(base(spark, x)).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.cluster_id, []).append((r.asset_id - 1) // 3)
+    assert len(got) == len({r.asset_id for r in got}) >= 50
+    assert all(len(m) > 1 and (max(m) - min(m)) * 5 <= 23.1 and min(m) * 3 + 1 == k for k, m in groups.items())
+
+
 def test_neighbours_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BASE_BLOCK", 40)
     x = vectors(7)
