@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The margins of the sweep.
 MARGINS = [0, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.08, 0.10]
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: The variables a template may use.
 VARIABLES = [
     "capture_time", "capture_date", "captured_date", "captured_time", "camera", "camera_make", "camera_model", "lens", "original_name", "original_stem", "extension", "semantic", "primary_label", "tone",
     "dominant_color", "saturation", "sequence", "short_hash",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: The fields that can be edited by hand.
 FIELDS = ["primary_category", "auxiliary_tags", "tone", "saturation", "dominant_color"]
 #: What a restart makes of each job status; statuses not named here stay.
 RECOVERY = {"running": "interrupted", "queued": "interrupted", "cancelling": "cancelled"}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import current, table
 
+#: The topics of the taxonomy in their order, which decides ties.
 TOPICS = ["photo_portrait", "photo_landscape", "photo_street", "photo_architecture", "photo_still_life", "photo_food", "photo_wildlife", "photo_macro", "photo_activity", "photo_vehicle", "photo_document", "photo_abstract"]
 #: The score each topic has to reach, in the order of TOPICS.
 THRESHOLDS = [0.22, 0.18, 0.19, 0.19, 0.21, 0.21, 0.22, 0.22, 0.21, 0.22, 0.25, 0.21]
@@ -20,6 +21,7 @@ CANONICAL = {
     "unknown": "photo_abstract", "photo_documentary": "photo_abstract", "person": "single_person", "portrait": "single_person", "group": "multiple_people", "pet": "animal",
     "photo_urban": "photo_street", "photo_event": "photo_activity", "photo_transport": "photo_vehicle", "photo_plant": "photo_macro",
 }
+#: The topic that each subject stands for.
 SUBJECT_TOPICS = {"single_person": "photo_portrait", "multiple_people": "photo_portrait", "animal": "photo_wildlife", "vehicle": "photo_vehicle", "food": "photo_food", "plant": "photo_macro"}
 
 _LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {1} DESC NULLS LAST) AS k FROM {0} WHERE id IS NOT NULL) x WHERE k = 1"

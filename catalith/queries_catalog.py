@@ -410,7 +410,7 @@ def e04(c: Catalog) -> DataFrame:
 def e05(c: Catalog) -> DataFrame:
     w = Window.partitionBy("fingerprint").orderBy(F.desc_nulls_last("is_favorite"), F.coalesce("rating", F.lit(0)).desc(), F.asc_nulls_first("capture_time"), "id")
     rows = c.now_assets.where("file_status = 'present'").join(_duplicates(c).select("fingerprint"), "fingerprint", "left_semi")
-    return rows.select("fingerprint", "id", F.row_number().over(w).alias("place"))
+    return rows.select("fingerprint", "id", F.row_number().over(w).cast("bigint").alias("place"))
 
 
 @query("e06_folder_rollup", with_tables("SELECT library_id, folder, count(*) AS assets FROM (SELECT library_id, unnest(list_transform(range(1, len(string_split(relative_path, '/'))), lambda i: list_aggregate(string_split(relative_path, '/')[1:i], 'string_agg', '/'))) AS folder FROM now_assets WHERE file_status = 'present') GROUP BY ALL", "now_assets"))
@@ -510,7 +510,7 @@ def f04(c: Catalog) -> DataFrame:
 @query("f05_evidence_rank", with_tables("SELECT asset_id, layer, label, row_number() OVER (PARTITION BY asset_id ORDER BY is_primary DESC, similarity DESC, label, layer) - 1 AS place FROM labels", "labels"))
 def f05(c: Catalog) -> DataFrame:
     w = Window.partitionBy("asset_id").orderBy(F.desc("is_primary"), F.desc("similarity"), "label", "layer")
-    return c.labels.select("asset_id", "layer", "label", (F.row_number().over(w) - 1).alias("place"))
+    return c.labels.select("asset_id", "layer", "label", (F.row_number().over(w) - 1).cast("bigint").alias("place"))
 
 
 # ---- G: order and pages

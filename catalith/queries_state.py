@@ -27,7 +27,7 @@ def a05(c: Catalog) -> DataFrame:
     return c.raw("documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("hash"))
 
 
-@query("a12_manifest_json", "SELECT id, json_object('id', id, 'path', file_name, 'bytes', file_size) AS line FROM (SELECT DISTINCT id, file_name, file_size FROM assets WHERE id IS NOT NULL AND file_name IS NOT NULL AND file_size IS NOT NULL)")
+@query("a12_manifest_json", "SELECT id, CAST(json_object('id', id, 'path', file_name, 'bytes', file_size) AS VARCHAR) AS line FROM (SELECT DISTINCT id, file_name, file_size FROM assets WHERE id IS NOT NULL AND file_name IS NOT NULL AND file_size IS NOT NULL)")
 def a12(c: Catalog) -> DataFrame:
     rows = c.raw("assets").where("id is not null and file_name is not null and file_size is not null").select("id", "file_name", "file_size").distinct()
     return rows.select("id", F.to_json(F.struct("id", F.col("file_name").alias("path"), F.col("file_size").alias("bytes"))).alias("line"))
@@ -121,7 +121,7 @@ def f08(c: Catalog) -> DataFrame:
 @query("f09_plan_ordinal", with_tables("SELECT library_id, id, row_number() OVER (PARTITION BY library_id ORDER BY lower(nfc_normalize(relative_path)), id) AS ordinal FROM now_assets", "now_assets"))
 def f09(c: Catalog) -> DataFrame:
     w = Window.partitionBy("library_id").orderBy("k", "id")
-    return c.now_assets.select("library_id", "id", T.comparison_key("relative_path").alias("k")).select("library_id", "id", F.row_number().over(w).alias("ordinal"))
+    return c.now_assets.select("library_id", "id", T.comparison_key("relative_path").alias("k")).select("library_id", "id", F.row_number().over(w).cast("bigint").alias("ordinal"))
 
 
 # ---- G, H
@@ -170,7 +170,7 @@ def h17(c: Catalog) -> DataFrame:
 def i04(c: Catalog) -> DataFrame:
     x = c.labels.groupBy("asset_id").agg(F.collect_set("label").alias("l"))
     w = F.array(F.lit("outdoor"), F.lit("person"))
-    return x.select("asset_id", F.size(F.array_intersect("l", w)).alias("both"), F.size(F.array_except("l", w)).alias("others"))
+    return x.select("asset_id", F.size(F.array_intersect("l", w)).cast("bigint").alias("both"), F.size(F.array_except("l", w)).cast("bigint").alias("others"))
 
 
 # ---- J
@@ -276,8 +276,8 @@ def m12(c: Catalog) -> DataFrame:
 # ---- P, Q
 
 
-@query("p05_subjects", with_tables("SELECT asset_id, CASE WHEN s >= 0.45 AND f THEN 'multiple_people' WHEN s >= 0.45 THEN 'single_person' WHEN b >= 0.65 THEN 'face' END AS subject FROM (SELECT t.asset_id, c.saturation AS s, t.brightness AS b, coalesce(c.neutral, 0) >= 0.5 AS f FROM tone t JOIN colour c ON c.asset_id = t.asset_id)", "tone", "colour"))
-def p05(c: Catalog) -> DataFrame:
+@query("p_subjects", with_tables("SELECT asset_id, CASE WHEN s >= 0.45 AND f THEN 'multiple_people' WHEN s >= 0.45 THEN 'single_person' WHEN b >= 0.65 THEN 'face' END AS subject FROM (SELECT t.asset_id, c.saturation AS s, t.brightness AS b, coalesce(c.neutral, 0) >= 0.5 AS f FROM tone t JOIN colour c ON c.asset_id = t.asset_id)", "tone", "colour"))
+def p_subjects(c: Catalog) -> DataFrame:
     """One or several people exclude each other; a face counts only when no person reached its score."""
     x = c.tone.join(c.colour, "asset_id")
     person = F.col("saturation") >= 0.45

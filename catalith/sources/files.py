@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: File name extensions of images.
 FORMATS = ["jpg", "jpeg", "png", "webp"]
 
 
