@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +23,9 @@ class TimeDictionary:
         self.spark, self.path = spark, path or fresh_path(spark, "times")
 
     def read(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(DICTIONARY).parquet(self.path)
-        except AnalysisException:
-            return None
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        there = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+        return self.spark.read.schema(DICTIONARY).parquet(self.path) if there else None
 
     def learn(self, rows: DataFrame, text: str, zone: str, source: str = "-") -> TimeDictionary:
         """Add the triples of `rows` (zone: a column of IANA names, null for UTC)."""

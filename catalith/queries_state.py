@@ -327,3 +327,89 @@ def q01(c: Catalog) -> DataFrame:
         return None
 
     return c.spark.createDataFrame([(t, issue(t)) for t in ("{capture_time:yyyy}_{semantic}", "{nope}", "{semantic")], "template STRING, issue STRING")
+
+
+# ---- what remains of the other sections
+
+
+@query("b24_stable_ids", "SELECT asset_id, row_number() OVER (ORDER BY first_at, asset_id) AS place FROM (SELECT asset_id, min(added_at) AS first_at FROM collection_assets WHERE collection_id = 1 AND asset_id > 0 GROUP BY asset_id)")
+def b24(c: Catalog) -> DataFrame:
+    """Distinct positive ids in the order in which they were first seen."""
+    from .queries_catalog import numbered
+
+    first = c.raw("collection_assets").where("collection_id = 1 and asset_id > 0").groupBy("asset_id").agg(F.min("added_at").alias("first_at"))
+    return numbered(first, [F.col("first_at"), F.col("asset_id")], "place").select("asset_id", "place")
+
+
+@query("b25_selection", with_tables("SELECT id, file_name FROM now_assets WHERE id IN (SELECT asset_id FROM members WHERE collection_id = 3)", "now_assets", "members"))
+def b25(c: Catalog) -> DataFrame:
+    chosen = c.members.where("collection_id = 3").select(F.col("asset_id").alias("id"))
+    return c.now_assets.select("id", "file_name").join(chosen, "id", "left_semi")
+
+
+@query("b28_thumbnail_currency", with_tables("SELECT n.id FROM now_assets n JOIN (SELECT DISTINCT id, file_size, modified_at FROM assets WHERE scan_status = 'indexed' AND analysis_status = 'completed') t ON t.id = n.id AND t.file_size = n.file_size AND t.modified_at = n.modified_at", "now_assets"))
+def b28(c: Catalog) -> DataFrame:
+    """Assets for which something finished exists of the same size and time."""
+    done = c.raw("assets").where("scan_status = 'indexed' and analysis_status = 'completed'").select("id", "file_size", "modified_at").distinct()
+    return c.now_assets.select("id", "file_size", "modified_at").join(done, ["id", "file_size", "modified_at"]).select("id")
+
+
+@query("c11_nested_roots", with_tables("SELECT p.id AS root, c.id AS nested FROM now_libraries p JOIN now_libraries c ON c.id <> p.id AND starts_with(c.source_identity_key, p.source_identity_key || '/')", "now_libraries"))
+def c11(c: Catalog) -> DataFrame:
+    """Roots physically inside other roots, whatever their relation: by the ancestors of the path, not by a range join."""
+    kids = c.now_libraries.select(F.col("id").alias("nested"), F.explode(T.ancestors("source_identity_key")).alias("key"))
+    return kids.join(c.now_libraries.select(F.col("id").alias("root"), F.col("source_identity_key").alias("key")), "key").select("root", "nested")
+
+
+@query("e13_plan_summary", with_tables(f"SELECT count(*) AS items, count(*) FILTER (list_contains({_ISSUES}, 'source_missing')) AS errors, count(*) FILTER (len({_ISSUES}) > 0) AS flagged, CAST(sum(len({_ISSUES})) AS BIGINT) AS issues, CAST(sum(file_size) AS BIGINT) AS bytes FROM now_assets", "now_assets"))
+def e13(c: Catalog) -> DataFrame:
+    x = c.now_assets.select("file_size", _issues().alias("i"))
+    return x.agg(count_rows().alias("items"), F.count_if(F.array_contains("i", "source_missing")).alias("errors"), F.count_if(F.size("i") > 0).alias("flagged"), F.sum(F.size("i")).alias("issues"), F.sum("file_size").alias("bytes"))
+
+
+@query("e26_savings", with_tables("SELECT CAST(sum(r) AS BIGINT) AS reclaimable, count(*) AS groups FROM (SELECT sum(file_size) - max(file_size) AS r FROM now_assets WHERE fingerprint <> '' AND file_status = 'present' GROUP BY fingerprint HAVING count(*) > 1)", "now_assets"))
+def e26(c: Catalog) -> DataFrame:
+    g = c.now_assets.where("fingerprint <> '' and file_status = 'present'").groupBy("fingerprint").agg(count_rows().alias("n"), (F.sum("file_size") - F.max("file_size")).alias("r"))
+    return g.where("n > 1").agg(F.sum("r").alias("reclaimable"), count_rows().alias("groups"))
+
+
+@query("h11_tag_states", with_tables("SELECT tag_id, count(*) FILTER (state = 'add') AS adds, count(*) FILTER (state = 'remove') AS removes FROM tag_overrides GROUP BY ALL", "tag_overrides"))
+def h11(c: Catalog) -> DataFrame:
+    return c.tag_overrides.groupBy("tag_id").agg(F.count_if(F.col("state") == "add").alias("adds"), F.count_if(F.col("state") == "remove").alias("removes"))
+
+
+@query("h12_restore", with_tables("SELECT a.id, count(o.asset_id) AS withdrawn, a.classification_revision + CASE WHEN count(o.asset_id) > 0 THEN 1 ELSE 0 END AS revision FROM now_assets a LEFT JOIN overrides o ON o.asset_id = a.id GROUP BY a.id, a.classification_revision", "now_assets", "overrides"))
+def h12(c: Catalog) -> DataFrame:
+    """Restoring automatic values: edits withdrawn per asset; the revision rises only where there were any."""
+    per = c.overrides.groupBy(F.col("asset_id").alias("id")).agg(count_rows().alias("n"))
+    n = F.coalesce("n", F.lit(0).cast("bigint"))
+    return c.now_assets.select("id", "classification_revision").join(per, "id", "left").select("id", n.alias("withdrawn"), (F.col("classification_revision") + (n > 0).cast("int")).alias("revision"))
+
+
+@query("j03_failed_assets", "SELECT id, max(last_seen_scan) AS last_scan, CAST(NULL AS INTEGER) AS width, 'not_analyzed' AS semantic_status FROM assets WHERE scan_status = 'failed' GROUP BY id")
+def j03(c: Catalog) -> DataFrame:
+    """Failed files keep their identity, lose their dimensions and wait for analysis."""
+    f = c.raw("assets").where("scan_status = 'failed'").groupBy("id").agg(F.max("last_seen_scan").alias("last_scan"))
+    return f.select("id", "last_scan", F.lit(None).cast("int").alias("width"), F.lit("not_analyzed").alias("semantic_status"))
+
+
+@query("j13_failed_items", with_tables("SELECT l.asset_id, l.label FROM labels l WHERE l.model_version = '2.1' AND l.asset_id NOT IN (SELECT id FROM now_assets WHERE analysis_status = 'failed')", "labels"))
+def j13(c: Catalog) -> DataFrame:
+    """Labels that stay when the items of failed assets are taken back."""
+    failed = c.now_assets.where("analysis_status = 'failed'").select(F.col("id").alias("asset_id"))
+    return c.labels.where("model_version = '2.1'").join(failed, "asset_id", "left_anti").select("asset_id", "label")
+
+
+@query("l03_parse_times", "SELECT DISTINCT id, created_at, epoch_ms(created_at::TIMESTAMP) AS ms FROM libraries WHERE created_at IS NOT NULL")
+def l03(c: Catalog) -> DataFrame:
+    ts = F.coalesce(F.try_to_timestamp("created_at", F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSX")), F.try_to_timestamp("created_at", F.lit("yyyy-MM-dd'T'HH:mm:ss")))
+    return c.raw("libraries").where("created_at is not null").select("id", "created_at", F.unix_millis(ts).alias("ms")).distinct()
+
+
+@query("m13_detections", "SELECT vec_id, round(max(sqrt(abs(a) * abs(b))), 6) AS best FROM (SELECT vec_id, unnest(embedding[1:16])::DOUBLE AS a, unnest(embedding[17:32])::DOUBLE AS b FROM embeddings) WHERE abs(a) >= 0.01 GROUP BY ALL")
+def m13(c: Catalog) -> DataFrame:
+    """Rows of a detector: class score times objectness under a root, weak classes left out, the best one kept."""
+    e = F.col("embedding")
+    pairs = F.arrays_zip(F.slice(e, 1, 16).alias("a"), F.slice(e, 17, 16).alias("b"))
+    x = c.raw("embeddings").select("vec_id", F.explode(pairs).alias("p")).select("vec_id", F.abs(F.col("p.a").cast("double")).alias("a"), F.abs(F.col("p.b").cast("double")).alias("b"))
+    return x.where("a >= 0.01").groupBy("vec_id").agg(F.round(F.max(F.sqrt(F.col("a") * F.col("b"))), 6).alias("best"))
