@@ -131,7 +131,7 @@ def fit(vectors: DataFrame, k: int, dims: int, seeding_rounds: int = 2, lloyd_ro
     def cost_of(centres: np.ndarray) -> float:
         def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = sum(float(nearest(decode(b), centres)[1].sum(dtype=np.float64)) for b in batches if b.num_rows)
-            yield pa.RecordBatch.from_pydict({"cost": [total]})
+            yield pa.RecordBatch.from_pydict({"cost": [float(total)]})
 
         return sum(r["cost"] for r in _rows(vectors, cost, "cost DOUBLE"))
 

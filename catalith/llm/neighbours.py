@@ -123,7 +123,7 @@ def _search(index: Index, keep: int, shortlist: int, least: float):
 def most_similar(vectors: DataFrame, k: int = 5, least: float = 0.90, probes: int = 6, shortlist: int = 48) -> DataFrame:
     """(id, neighbour, cosine, rank): for every vector its k most similar others with a cosine of `least` or more.
 
-    vectors (id, vec BINARY of float32), one row per id. Equal directions are merged first: of the records that share
+    vectors (id, vec BINARY of float32), one row per id; rows with a null are left out. Equal directions are merged first: of the records that share
     one, the k + 1 smallest ids are indexed and one query stands for all, so a third of all rows being copies costs a
     third less. Every vector lies in the list of its nearest coarse centroid; a query visits `probes` lists, ranks
     them by asymmetric distances to the product codes, and reranks the `shortlist` best of each list by exact
@@ -140,7 +140,7 @@ def most_similar(vectors: DataFrame, k: int = 5, least: float = 0.90, probes: in
                 u = _unit32(b) + np.float32(0)
                 yield pa.RecordBatch.from_arrays([b["id"], pa.array([hashlib.md5(v.tobytes()).hexdigest() for v in u]), b["vec"]], ["id", "key", "vec"])
 
-    keyed = materialise(vectors.select("id", "vec").mapInArrow(directions, schema), "directions")
+    keyed = materialise(vectors.select("id", "vec").where("id is not null and vec is not null").mapInArrow(directions, schema), "directions")
     rank = F.row_number().over(Window.partitionBy("key").orderBy("id"))
     base = materialise(keyed.withColumn("place", rank).where(F.col("place") <= k + 1), "base", n=F.count(F.lit(1)))
     index = fit_index(base, base.measured["n"])

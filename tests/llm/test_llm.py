@@ -89,7 +89,8 @@ def test_clusters_match_brute_force(spark):
             assert near[np.ix_(group, group)].all()
             seen |= set(group)
             expected |= {(min(group) * 3 + 1, j * 3 + 1) for j in group}
-    b = base(spark, x, f)
+    nulls = spark.createDataFrame([(None, x[0].tobytes(), 0.5, 0.5), (9_000, None, 0.5, 0.5), (9_001, x[-1].tobytes(), None, 0.5)], "id BIGINT, vec BINARY, brightness DOUBLE, saturation DOUBLE")
+    b = base(spark, x, f).union(nulls).withColumns({"component": F.lit("clash"), "cell": F.lit(1)})
     found = similarity_clusters(b)
     assert {tuple(r) for r in found.collect()} == expected
     typical = typical_members(b, found).collect()
@@ -139,7 +140,8 @@ def test_neighbours_match_brute_force(spark, monkeypatch):
     s = np.round(u @ u.T, 6)
     np.fill_diagonal(s, -2)
     expected = {(int(ids[i]), int(ids[j])) for i in range(len(x)) for j in np.lexsort((ids, -s[i]))[:5] if s[i, j] >= 0.9}
-    got = neighbours.most_similar(base(spark, x).select("id", "vec"), k=5, least=0.9).collect()
+    clash = base(spark, x).withColumns({"key": F.lit("x"), "place": F.lit(3)})
+    got = neighbours.most_similar(clash.union(clash.limit(1).withColumn("vec", F.lit(None).cast("binary"))), k=5, least=0.9).collect()
     assert len(expected - {(r.id, r.neighbour) for r in got}) <= 0.02 * len(expected)
     assert {(r.id, r.neighbour) for r in got} <= expected or len(expected) - len(got) <= 2
     assert neighbours.most_similar(base(spark, x[:0]).select("id", "vec")).count() == 0
