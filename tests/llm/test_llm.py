@@ -132,6 +132,35 @@ def test_large_chains_are_parted_and_stay_similar(spark, monkeypatch):
     assert all(len(m) > 1 and (max(m) - min(m)) * 5 <= 23.1 and min(m) * 3 + 1 == k for k, m in groups.items())
 
 
+def test_large_components_without_a_certificate_stay_whole(spark, monkeypatch):
+    import catalith.llm.clusters as module
+
+    x = np.zeros((62, 64))
+    x[:60, 0] = math.sqrt(0.93)
+    x[np.arange(60), 1 + np.arange(60)] = math.sqrt(0.07)  # all pairs at 0.93, 0.965 to the centroid
+    x[60], x[61] = 0.95 * x[0], 0.95 * x[0]  # two outliers, similar to the first and to each other or not
+    x[60, 62], x[61, 63] = math.sqrt(1 - 0.95**2), math.sqrt(1 - 0.95**2)
+    monkeypatch.setattr(module, "WHOLE", 20)
+    monkeypatch.setattr(module, "TILE", 16, raising=False)
+    monkeypatch.setattr(module, "ROWS", 7, raising=False)
+    for n in (60, 62):
+        got = {(r.cluster_id, r.asset_id) for r in similarity_clusters(base(spark, x[:n].astype(np.float32))).collect()}
+        assert got == {(1, i * 3 + 1) for i in range(60)}
+
+
+def test_large_knots_come_out_as_small_ones_do(spark, monkeypatch):
+    import catalith.llm.clusters as module
+
+    angle = np.radians(np.random.default_rng(8).permutation(np.concatenate([np.arange(60) * 5.0, np.arange(40) * 7.3])))
+    x = np.zeros((100, 64), np.float32)
+    x[:, 0], x[:, 1] = np.cos(angle), np.sin(angle)
+    expected = {tuple(r) for r in similarity_clusters(base(spark, x)).collect()}
+    monkeypatch.setattr(module, "WHOLE", 20)
+    monkeypatch.setattr(module, "TILE", 32, raising=False)
+    monkeypatch.setattr(module, "ROWS", 16, raising=False)
+    assert {tuple(r) for r in similarity_clusters(base(spark, x)).collect()} == expected and len(expected) > 90
+
+
 def test_neighbours_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BASE_BLOCK", 40)
     x = vectors(7)
