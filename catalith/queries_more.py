@@ -219,6 +219,23 @@ def o02(c: Catalog) -> DataFrame:
     return _similar(c, 11, 0.1, 24)
 
 
+def _near_all(least: float, k: int) -> str:
+    dot = "list_dot_product({0}.embedding::DOUBLE[], {1}.embedding::DOUBLE[])"
+    pairs = f"SELECT q.vec_id AS query_id, a.vec_id, round({dot.format('a', 'q')} / sqrt({dot.format('a', 'a')} * {dot.format('q', 'q')}), 6) AS similarity FROM embeddings a JOIN embeddings q ON q.vec_id % 20 = 0 AND a.vec_id <> q.vec_id"
+    return f"SELECT query_id, vec_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS place FROM ({pairs}) WHERE similarity >= {least}) WHERE place <= {k}"
+
+
+@query("o01_text_search_all", _near_all(0.05, 80))
+def o01_all(c: Catalog) -> DataFrame:
+    """The search of o01 for every record with an id divisible by 20."""
+    return V.top_similar(c.raw("embeddings"), F.col("vec_id") % 20 == 0, 0.05, 80)
+
+
+@query("o02_similar_to_all", _near_all(0.1, 24))
+def o02_all(c: Catalog) -> DataFrame:
+    return V.top_similar(c.raw("embeddings"), F.col("vec_id") % 20 == 0, 0.1, 24)
+
+
 _BUCKETS = "(SELECT vec_id, d || CASE WHEN embedding[d + 1] < 0 THEN '-' ELSE '+' END AS bucket, row_number() OVER (PARTITION BY d, embedding[d + 1] < 0 ORDER BY abs(embedding[d + 1]) DESC, vec_id) AS place FROM (SELECT vec_id, embedding, unnest(list_transform(list_sort(list_transform(range(0, 64), lambda i: {m: -abs(embedding[i + 1]), i: i}))[1:4], lambda p: p.i)) AS d FROM embeddings))"
 
 

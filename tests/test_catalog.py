@@ -108,3 +108,25 @@ def test_query_matches_sql(spark, duck, data, name):
     assert sorted(names) == columns
     expected = sorted(str([plain(r[names.index(c)]) for c in columns]) for r in cursor.fetchall())
     assert got == expected
+
+
+def test_every_query_searches_all_rows(spark, monkeypatch):
+    import math
+    import random
+
+    from catalith.functions import vector
+
+    monkeypatch.setattr(vector, "QUERIES", 2, raising=False)
+    monkeypatch.setattr(vector, "ROWS", 30, raising=False)
+    r = random.Random(4)
+    x = {i: [r.gauss(0, 1) for _ in range(8)] for i in range(1, 121)} | {140: None, 160: [0.0] * 8, 180: [1.0] * 3}
+    x[41] = x[42] = x[40]  # ties
+    cos = lambda a, b: round(sum(p * q for p, q in zip(a, b)) / math.sqrt(sum(p * p for p in a) * sum(q * q for q in b)), 6)
+    expected = []
+    for q in range(20, 121, 20):
+        near = sorted((-cos(x[q], v), i) for i, v in x.items() if i != q and i <= 120)
+        expected += [(q, i, -s) for s, i in near[:5] if -s >= 0.1]
+    rows = spark.createDataFrame(list(x.items()), "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    got = vector.top_similar(rows, F.col("vec_id") % 20 == 0, 0.1, 5).collect()
+    assert {(g.query_id, g.vec_id, g.similarity) for g in got} == set(expected) and len(got) == len(expected) > 10
+    assert vector.top_similar(rows.limit(0), F.col("vec_id") % 20 == 0, 0.1, 5).count() == 0
