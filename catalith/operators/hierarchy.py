@@ -19,7 +19,14 @@ def escaped(name: Column) -> Column:
 
 
 def depth_first(ids: np.ndarray, parents: np.ndarray, names: list[str] | None = None) -> pd.DataFrame:
-    """Iterative depth-first traversal with node colours over whole components; `parents` holds -1 positions for roots.
+    """:data:`RESULT` of the nodes, see :func:`_walk`."""
+    return _walk(ids, parents, names)[0]
+
+
+def _walk(ids: np.ndarray, parents: np.ndarray, names: list[str] | None = None) -> tuple[pd.DataFrame, np.ndarray]:
+    """Rows of RESULT and the positions of the nodes in preorder, where what hangs below a node off a cycle follows it.
+
+    Iterative depth-first traversal with node colours over whole components; `parents` holds -1 positions for roots.
 
     ids: node keys; parents: position of each node's parent in ids, or -1. Grey marks the walk under way, black what is
     finished: a walk that meets grey has found the back edge that closes a cycle.
@@ -77,10 +84,11 @@ def depth_first(ids: np.ndarray, parents: np.ndarray, names: list[str] | None =
     if cycle.any():
         total = pd.Series(1, index=root[depth < 0]).groupby(level=0).sum()
         below[cycle] = total.reindex(root[cycle]).to_numpy() - 1
-    return pd.DataFrame({"node_id": ids, "root_id": root, "node_depth": depth, "n_below": below, "on_cycle": cycle, "back_edge_to": pd.array(np.where(back >= 0, ids[np.maximum(back, 0)], 0), dtype="Int64"), "path": paths}).assign(back_edge_to=lambda x: x.back_edge_to.mask(back < 0))
+    rows = pd.DataFrame({"node_id": ids, "root_id": root, "node_depth": depth, "n_below": below, "on_cycle": cycle, "back_edge_to": pd.array(np.where(back >= 0, ids[np.maximum(back, 0)], 0), dtype="Int64"), "path": paths}).assign(back_edge_to=lambda x: x.back_edge_to.mask(back < 0))
+    return rows, np.array(preorder, np.int64)
 
 
-def _traverse(pdf: pd.DataFrame) -> pd.DataFrame:
+def _positions(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     ids = pdf["node_id"].to_numpy(np.int64)
     rank = pd.Index(ids)
     parents = pdf["parent"].to_numpy(np.float64)
@@ -88,8 +96,27 @@ def _traverse(pdf: pd.DataFrame) -> pd.DataFrame:
     position = np.full(len(ids), -1, np.int64)
     # Parents as text keep all 64 bits; floats above lost them.
     position[has] = rank.get_indexer(pdf["parent_text"][has].astype(np.int64))
-    names = pdf["name"].tolist() if "name" in pdf else None
-    return depth_first(ids, position, names)
+    return ids, position
+
+
+def _traverse(pdf: pd.DataFrame) -> pd.DataFrame:
+    return depth_first(*_positions(pdf), pdf["name"].tolist() if "name" in pdf else None)
+
+
+def _intervals(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Each node with its place and the places (first, last) of all nodes below it; a cycle's nodes share one interval."""
+    ids, position = _positions(pdf)
+    rows, preorder = _walk(ids, position)
+    root, ring = rows["root_id"].to_numpy(), rows["on_cycle"].to_numpy()
+    # Stable by root: the trees that hang from one cycle become neighbours, and preorder within a tree is kept.
+    preorder = preorder[np.argsort(root[preorder], kind="stable")]
+    place = np.empty(len(ids), np.int64)
+    place[preorder] = np.arange(len(ids))
+    first, last = place + 1, place + rows["n_below"].to_numpy()
+    if ring.any():
+        low = pd.Series(place).groupby(root).transform("min").to_numpy()
+        first[ring], last[ring] = low[ring], low[ring] + rows["n_below"].to_numpy()[ring]
+    return pd.DataFrame({"bin": pdf["bin"].to_numpy(), "node": ids, "place": place, "first": first, "last": last})
 
 
 def hierarchy(rows: DataFrame, node: str, parent: str, name: str | None = None, max_component: int = 50_000) -> DataFrame:
@@ -103,6 +130,37 @@ def hierarchy(rows: DataFrame, node: str, parent: str, name: str | None = None,
     Components of up to `max_component` nodes are co-located, many to a task, and traversed depth-first; larger ones are
     resolved by pointer doubling in as many joins as the logarithm of their depth, with the same result.
     """
+    placed, small, large = _placed(rows, node, parent, name, max_component)
+    path = (lambda c: c) if name else (lambda c: F.lit(None).cast("string"))
+    alone = placed.where("component is null").select("node_id", F.col("node_id").alias("root_id"), F.lit(0).cast("bigint").alias("node_depth"), F.lit(0).cast("bigint").alias("n_below"), F.lit(False).alias("on_cycle"), F.lit(None).cast("bigint").alias("back_edge_to"), path(F.concat(F.lit("/"), F.col("name")) if name else None).alias("path"))
+    out = alone
+    if small is not None:
+        out = out.unionByName(small.groupBy("bin").applyInPandas(lambda pdf: _traverse(pdf), RESULT))
+    if large is not None:
+        out = out.unionByName(by_doubling(large))
+    return out
+
+
+def descendants(rows: DataFrame, node: str, parent: str, max_component: int = 50_000) -> DataFrame:
+    """(ancestor, node): every node with each other node below it; on a cycle, all that run into it are below.
+
+    rows and components as for :func:`hierarchy`. The traversal yields one preorder interval per node, and the pairs
+    are made from the intervals by a join on places, so no task holds them; components above `max_component` nodes
+    take :func:`closure`.
+    """
+    placed, small, large = _placed(rows, node, parent, None, max_component)
+    out = placed.where("false").select(F.col("node_id").alias("ancestor"), F.col("node_id").alias("node"))
+    if small is not None:
+        spans = materialise(small.groupBy("bin").applyInPandas(lambda pdf: _intervals(pdf), "bin BIGINT, node BIGINT, place BIGINT, first BIGINT, last BIGINT"), "spans")
+        pairs = spans.where("first <= last").select("bin", F.col("node").alias("ancestor"), F.explode(F.sequence("first", "last")).alias("place"))
+        out = out.unionByName(pairs.join(spans.select("bin", "place", "node"), ["bin", "place"]).where("ancestor <> node").select("ancestor", "node"))
+    if large is not None:
+        out = out.unionByName(closure(large, "node_id", "parent").where("ancestor <> node").select("ancestor", "node"))
+    return out
+
+
+def _placed(rows: DataFrame, node: str, parent: str, name: str | None, max_component: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Nodes with their component (null where alone), those of small ones with the task they go to, and those of large ones."""
     names = [escaped(F.col(name)).alias("name")] if name else []
     nodes = rows.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("node_id")).agg(F.min(parent).alias("parent"), *([F.min(escaped(F.col(name))).alias("name")] if names else []))
     there = nodes.select(F.col("node_id").alias("parent"), F.lit(True).alias("there"))
@@ -114,17 +172,12 @@ def hierarchy(rows: DataFrame, node: str, parent: str, name: str | None = None,
     large = sizes.where(F.col("size") > max_component)
     n_small, n_large = (sizes.agg(F.sum(F.when(F.col("size") <= max_component, F.col("size"))), F.sum((F.col("size") > max_component).cast("int"))).first()) or (0, 0)
 
-    path = (lambda c: c) if name else (lambda c: F.lit(None).cast("string"))
-    alone = placed.where("component is null").select("node_id", F.col("node_id").alias("root_id"), F.lit(0).cast("bigint").alias("node_depth"), F.lit(0).cast("bigint").alias("n_below"), F.lit(False).alias("on_cycle"), F.lit(None).cast("bigint").alias("back_edge_to"), path(F.concat(F.lit("/"), F.col("name")) if name else None).alias("path"))
-    out = alone
+    small = None
     if n_small:
         bins = max(cores(rows.sparkSession), -(-n_small // max_component))
         small = placed.where("component is not null").join(large, "component", "left_anti") if n_large else placed.where("component is not null")
         small = small.withColumns({"bin": F.pmod(F.xxhash64("component"), F.lit(bins)), "parent_text": F.col("parent").cast("string")})
-        out = out.unionByName(small.groupBy("bin").applyInPandas(lambda pdf: _traverse(pdf), RESULT))
-    if n_large:
-        out = out.unionByName(by_doubling(placed.join(large.select("component"), "component", "left_semi").drop("component")))
-    return out
+    return placed, small, placed.join(large.select("component"), "component", "left_semi").drop("component") if n_large else None
 
 
 def by_doubling(nodes: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.hierarchy import hierarchy
+from .operators.hierarchy import descendants, hierarchy
 from .operators.references import orphan_references
 from .operators.times import TimeDictionary, asset_times
 from .sources.tables import current, table
@@ -35,6 +35,16 @@ def p1_paths(spark: SparkSession, d: str) -> DataFrame:
     return _trees(spark, d, True).select("tree", "node_id", "path", "on_cycle", "back_edge_to")
 
 
+def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
+    def one(tree: str) -> DataFrame:
+        t, parent = TREES[tree]
+        return descendants(current(spark, d, t, "id", parent), "id", parent).select(F.lit(tree).alias("tree"), "ancestor", "node")
+
+    with ThreadPoolExecutor(len(TREES)) as pool:
+        out = list(pool.map(one, TREES))
+    return reduce(DataFrame.unionByName, out)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     assets = current(spark, d, "assets", "id", "capture_time", "camera_model")
     return asset_times(assets, table(spark, d, "camera_clocks")).where("instant_ms is not null").select(F.col("id").alias("asset_id"), F.col("instant_ms").alias("capture_utc_ms"))
@@ -69,7 +79,7 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("source_table", "ref_month", "ref_kind").agg(F.count(F.lit(1)).alias("refs"), F.count_distinct("missing_id").alias("missing"), F.count_distinct("owner_id").alias("owners"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_paths": p1_paths, "p2_found": p2_found, "p2_increment": p2_increment, "p5_found": p5_found, "p5_report": p5_report}
+QUERIES = {"p1_found": p1_found, "p1_paths": p1_paths, "p1_descendants": p1_descendants, "p2_found": p2_found, "p2_increment": p2_increment, "p5_found": p5_found, "p5_report": p5_report}
 
 _NOW = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {1} DESC) AS k FROM {0} WHERE id IS NOT NULL) WHERE k = 1)"
 _ASSETS, _LIBRARIES = _NOW.format("assets", "last_seen_scan"), _NOW.format("libraries", "scan_generation")
@@ -89,6 +99,9 @@ above AS (SELECT up.tree, up.id, count(*) AS depth, max(CASE WHEN n.p IS NULL TH
 below AS (SELECT tree, a AS id, count(*) FILTER (id <> a) AS c FROM up GROUP BY ALL)
 SELECT n.tree, n.id AS node_id, coalesce(above.root, above.low, n.id) AS root_id, CAST(CASE WHEN above.low IS NOT NULL THEN -1 ELSE coalesce(above.depth, 0) END AS BIGINT) AS node_depth, CAST(coalesce(below.c, 0) AS BIGINT) AS n_below
 FROM n LEFT JOIN above ON above.tree = n.tree AND above.id = n.id LEFT JOIN below ON below.tree = n.tree AND below.id = n.id""",
+    "p1_descendants": f"""WITH RECURSIVE n AS ({_TREE.format("library", "libraries", "parent_library_id", "scan_generation")} UNION ALL {_TREE.format("collection", "collections", "parent_collection_id", "updated_at")}),
+up AS (SELECT tree, id, p AS a FROM n WHERE p IS NOT NULL UNION SELECT up.tree, up.id, n.p FROM up JOIN n ON n.tree = up.tree AND n.id = up.a WHERE n.p IS NOT NULL)
+SELECT tree, a AS ancestor, id AS node FROM up WHERE a <> id""",
     "p5_found": _ORPHANS,
     "p5_report": f"SELECT source_table, ref_month, ref_kind, count(*) AS refs, count(DISTINCT missing_id) AS missing, count(DISTINCT owner_id) AS owners FROM ({_ORPHANS}) GROUP BY ALL",
 }

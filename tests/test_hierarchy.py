@@ -3,7 +3,7 @@
 import random
 
 from catalith.operators.components import connected_components
-from catalith.operators.hierarchy import closure, hierarchy, reach
+from catalith.operators.hierarchy import closure, descendants, hierarchy, reach
 
 
 def brute(parent):
@@ -46,6 +46,22 @@ def test_both_ways_agree_with_brute_force(spark):
             assert paths[30] == r"/n\/30" and paths[5] is None and paths[2**53 + 1].endswith(r"/n\/9007199254740993")
 
 
+def test_descendants_of_trees_rings_and_tails(spark):
+    p = some_forest(3) | {70: 71, 71: 72, 72: 70, 65: 66, 66: 65, 73: 70, 74: 73, 75: 71, 67: 66, 68: 67}
+    expected = set()
+    for n in p:
+        at, seen = p[n], set()
+        while at in p and at not in seen:
+            seen.add(at)
+            at = p[at]
+        expected |= {(a, n) for a in seen if a != n}
+    rows = spark.createDataFrame(list(p.items()), "id BIGINT, up BIGINT")
+    for limit in (50_000, 1):
+        got = [tuple(r) for r in descendants(rows, "id", "up", max_component=limit).collect()]
+        assert len(got) == len(set(got)) and set(got) == expected
+    assert descendants(rows.limit(0), "id", "up").count() == 0
+
+
 def test_deep_chain_and_empty(spark):
     n = 700
     rows = spark.range(1, n).selectExpr("id", "case when id > 1 then id - 1 end as up")
