@@ -295,3 +295,13 @@ def test_contexts_teach_unlisted_names_and_streets(spark):
     texts = {r.doc_id: r.redacted_text for r in pii.redact(documents, found).collect()}
     assert texts[0] == "The release was signed by [NAME] at the gate." and texts[7] == docs[7] and texts[len(docs) - 2] is None
     assert pii.find_pii(documents.limit(0), spark.createDataFrame(parts, "name_part STRING, name_role STRING")).count() == 0
+
+
+def test_names_in_any_case_and_order_and_short_phones(spark):
+    parts = spark.createDataFrame([("Ravi", "given"), ("Talwick", "family")], "name_part STRING, name_role STRING")
+    texts = ["we met ravi talwick today", "from Talwick Ravi with thanks", "we met ravi and talwick", "by RAVI k. talwick alone"]
+    calls = ["please call 020 7946 0958 soon", "please call 020 7946 0123 soon", "please call 040 123456 soon", "on 2021-03-04 it rained"]
+    docs = spark.createDataFrame(list(enumerate(texts + calls)), "doc_id BIGINT, text STRING")
+    got = {(r.doc_id, r.pii_kind, r.pii_text) for r in pii.find_pii(docs, parts).collect()}
+    assert {g for g in got if g[1] == "name"} == {(0, "name", "ravi talwick"), (1, "name", "Talwick Ravi"), (3, "name", "RAVI k. talwick")}
+    assert {g[2] for g in got if g[1] == "phone"} == {"020 7946 0958", "020 7946 0123", "040 123456"}
