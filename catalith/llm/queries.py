@@ -29,23 +29,27 @@ def _copies(spark: SparkSession, d: str, *more: str) -> DataFrame:
     )
 
 
+FILLED = ["capture_ms", "rating", "file_size"]
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     copies = _copies(spark, d)
-    least = {"own_ms": F.when(F.col("own_zone"), F.col("capture_ms")), "other_ms": F.when(~F.col("own_zone"), F.col("capture_ms"))}
-    best = best_records(copies, "fingerprint", "id", "last_seen_at", ["capture_ms", "rating", "file_size"], least).where("members >= 2")
-    rated = F.filter("reps", lambda r: r["rating"].isNotNull())
-    last = F.array_max(F.transform(rated, lambda r: F.struct(r["recency"], r["trust"], r["rating"])))["rating"]
+    best = best_records(copies, "fingerprint", "id", "last_seen_at", FILLED, least=2).select("fingerprint", F.col("survivor").alias("survivor_id"))
+    seen = F.struct(F.coalesce("last_seen_at", F.lit("")).alias("at"), (-F.col("id")).alias("first"), F.col("rating").alias("rating"))
+    values = copies.groupBy("fingerprint").agg(
+        F.max(F.when(F.col("rating").isNotNull(), seen))["rating"].alias("last_rating"), F.min(F.when(F.col("own_zone"), F.col("capture_ms"))).alias("own_ms"), F.min(F.when(~F.col("own_zone"), F.col("capture_ms"))).alias("other_ms")
+    )
     sizes = most_common(copies, "fingerprint", "file_size", "best_file_size")
-    return best.join(sizes, "fingerprint", "left").select(
-        "fingerprint", F.col("survivor").alias("survivor_id"), F.coalesce(last, F.lit(0)).alias("best_rating"), F.coalesce("best_file_size", F.lit(0)).alias("best_file_size"), F.coalesce("own_ms", "other_ms", F.lit(-1)).alias("best_capture_ms")
+    return best.join(values, "fingerprint").join(sizes, "fingerprint", "left").select(
+        "fingerprint", "survivor_id", F.coalesce("last_rating", F.lit(0)).alias("best_rating"), F.coalesce("best_file_size", F.lit(0)).alias("best_file_size"), F.coalesce("own_ms", "other_ms", F.lit(-1)).alias("best_capture_ms")
     )
 
 
 def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
     """The surviving record of each group, its gaps filled from successive dominance layers."""
-    fields = ["capture_ms", "rating", "file_size", "camera_model", "lens_model", "color_label"]
-    best = best_records(_copies(spark, d, "lens_model", "color_label"), "fingerprint", "id", "last_seen_at", fields)
-    return best.where("members >= 2").select("fingerprint", F.col("survivor").alias("survivor_id"), "members", "skyline", *fields)
+    fields = [*FILLED, "camera_model", "lens_model", "color_label"]
+    best = best_records(_copies(spark, d, "lens_model", "color_label"), "fingerprint", "id", "last_seen_at", fields, least=2)
+    return best.select("fingerprint", F.col("survivor").alias("survivor_id"), "members", "skyline", *fields)
 
 
 def _looks(spark: SparkSession, d: str) -> DataFrame:

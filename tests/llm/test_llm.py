@@ -22,11 +22,12 @@ def test_survivors_layers_and_ties(spark):
         ("x", 1, "2020", 1, None, None, "clash"), ("x", 2, "2021", None, 5, None, "clash"), ("x", 3, "2019", 7, 8, None, "clash"), ("x", 4, "2019", 7, 9, None, "clash"),
         ("y", 9, None, None, None, None, None), ("y", 8, None, None, None, None, None), (None, 5, "2020", 1, 1, "z", None), ("z", 6, "2020", 1, 1, "q", None),
     ]
-    got = {r.g: r for r in best_records(spark.createDataFrame(rows, schema), "g", "id", "seen", ["a", "b", "c"], {"low": F.col("a")}).collect()}
+    got = {r.g: r for r in best_records(spark.createDataFrame(rows, schema), "g", "id", "seen", ["a", "b", "c"]).collect()}
     assert set(got) == {"x", "y", "z"}
     # Most complete first; of equal ones the smaller id; c is nowhere, a and b come with the survivor.
-    assert (got["x"].survivor, got["x"].a, got["x"].b, got["x"].c, got["x"].members, got["x"].low) == (3, 7, 8, None, 4, 1)
+    assert (got["x"].survivor, got["x"].a, got["x"].b, got["x"].c, got["x"].members) == (3, 7, 8, None, 4)
     assert got["x"].skyline == 3 and got["y"].survivor == 8 and got["z"].c == "q"
+    assert {r.g for r in best_records(spark.createDataFrame(rows, schema), "g", "id", "seen", ["a"], least=2).collect()} == {"x", "y"}
     assert best_records(spark.createDataFrame([], schema), "g", "id", "seen", ["a"]).count() == 0
 
 
@@ -34,6 +35,43 @@ def test_gaps_fill_from_the_nearest_layer(spark):
     rows = [("x", 1, "2022", 1, 1, None, None), ("x", 2, "2021", None, None, 5, None), ("x", 3, "2020", None, None, 6, 7)]
     r = best_records(spark.createDataFrame(rows, "g STRING, id BIGINT, seen STRING, a BIGINT, b BIGINT, c BIGINT, d BIGINT"), "g", "id", "seen", ["a", "b", "c", "d"]).first()
     assert (r.survivor, r.a, r.b, r.c, r.d) == (1, 1, 1, 6, 7)  # record 2 is dominated by record 1, record 3 only by it too, and is more complete
+    # An older record of greater trust is undominated, though its pattern of filled fields has a newer one.
+    rows = [("x", 4, "2023", 1, 2, None), ("x", 5, "2022", None, 2, 20), ("x", 1, "2021", None, 2, 10)]
+    r = best_records(spark.createDataFrame(rows, "g STRING, id BIGINT, seen STRING, a BIGINT, b BIGINT, c BIGINT"), "g", "id", "seen", ["a", "b", "c"]).first()
+    assert (r.survivor, r.skyline, r.c) == (4, 2, 10)
+
+
+def peeled_by_hand(members, n_fields):
+    """(survivor, members, skyline, fields) by peeling skylines off all members; member: (id, recency, trust, *fields)."""
+    triple = {m[0]: (sum(v is not None for v in m[3:]), m[1], m[2]) for m in members}
+    order = sorted(members, key=lambda m: (*triple[m[0]], -m[0]), reverse=True)
+    left, fronts = list(order), []
+    while left:
+        beats = lambda a, b: triple[a[0]] != triple[b[0]] and all(x >= y for x, y in zip(triple[a[0]], triple[b[0]]))
+        fronts.append([m for m in left if not any(beats(o, m) for o in left)])
+        left = [m for m in left if m not in fronts[-1]]
+    ranked = [m for front in fronts for m in front]
+    return (order[0][0], len(members), len(fronts[0]), *[next((m[3 + f] for m in ranked if m[3 + f] is not None), None) for f in range(n_fields)])
+
+
+@pytest.mark.parametrize(("block", "column"), [(100_000, None), (100_000, "rank"), (9, None), (9, "rank")])
+def test_survivors_against_peeling_by_hand(spark, monkeypatch, block, column):
+    from catalith.llm import survivors
+
+    monkeypatch.setattr(survivors, "BLOCK", block)
+    r = random.Random(block)
+    rows, expected = [], {}
+    for g in range(40):
+        members = []
+        for i in r.sample(range(1, 500), r.choice([1, 2, 3, 8, 40])):
+            fields = [r.choice([None, None, r.randrange(9)]) for _ in range(4)]
+            rank = r.choice([None, 1, 2, 3])
+            members.append((i, f"20{r.randrange(10, 18)}", (float("-inf") if rank is None else float(rank)) if column else -i, *fields))
+            rows.append((f"g{g}", i, members[-1][1], rank, *fields))
+        expected[f"g{g}"] = peeled_by_hand(members, 4)
+    df = spark.createDataFrame(rows, "g STRING, id BIGINT, seen STRING, rank INT, a BIGINT, b BIGINT, c BIGINT, d BIGINT")
+    got = {x.g: tuple(x)[1:] for x in best_records(df, "g", "id", "seen", ["a", "b", "c", "d"], column).collect()}
+    assert got == expected
 
 
 def test_most_common(spark):
