@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 2048  #: vectors per matrix product
+MOST = 16_384  #: clusters; more records make larger clusters, which their users compare in blocks
+DRIVER_BYTES = 64 << 20  #: partial sums that come to the driver without being added up on the way
 
 
 def matrix(column: pa.Array | pa.ChunkedArray | list, dims: int) -> np.ndarray:
@@ -95,7 +97,7 @@ def _partial_sums(vectors: DataFrame, centres: np.ndarray, dims: int, decode) ->
 
     schema = "cell INT, n BIGINT, total BINARY"
     parts = vectors.mapInArrow(sums, schema)
-    several = vectors.rdd.getNumPartitions() > 64  # then a reducing step keeps the driver's share one row per cluster
+    several = vectors.rdd.getNumPartitions() * len(centres) * dims * 8 > DRIVER_BYTES  # then they are added up before
     rows = (parts.groupBy("cell").applyInPandas(add, schema) if several else parts).collect()
     total, size = np.zeros((len(centres), dims)), np.zeros(len(centres), np.int64)
     for r in rows:
@@ -104,7 +106,7 @@ def _partial_sums(vectors: DataFrame, centres: np.ndarray, dims: int, decode) ->
     return total, size
 
 
-def fit(vectors: DataFrame, k: int, dims: int, seeding_rounds: int = 2, lloyd_rounds: int = 2, seed: int = 7, max_k: int = 65_536, decode=None) -> np.ndarray:
+def fit(vectors: DataFrame, k: int, dims: int, seeding_rounds: int = 2, lloyd_rounds: int = 2, seed: int = 7, decode=None) -> np.ndarray:
     """(k', dims) centres, k' <= k, of vectors (id BIGINT, vec BINARY of float32), all of which take part in every step.
 
     decode: Arrow batch to (n, dims) matrix, where the features are more than the bytes in vec.
@@ -112,10 +114,10 @@ def fit(vectors: DataFrame, k: int, dims: int, seeding_rounds: int = 2, lloyd_ro
     Seeding: from one vector on, each round samples every vector with a probability in proportion to its squared
     distance from the centres so far, k expected per round; the candidates, weighted by the vectors nearest to them,
     are clustered on the driver. Then Lloyd rounds of partial sums. The driver holds centres only: about
-    seeding_rounds * k of them (k is at most max_k, so their size is bounded); vectors never come to the driver.
+    seeding_rounds * k of them (k is at most MOST, so their size is bounded); vectors never come to the driver.
     Sampling depends on ids alone, so a lost task repeats exactly. No vectors give no centres.
     """
-    k = max(1, min(k, max_k))
+    k = max(1, min(k, MOST))
     decode = decode or (lambda batch: matrix(batch["vec"], dims))
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
-from . import kmeans
-from .vectors import DIMS, unit
+from ..session import discard, materialise
+from . import cells, kmeans
+from .vectors import DIMS, directions, unit, unit32
 
 PARTS, CODES = 8, 256  #: sub-vectors and codewords of each
-BASE_BLOCK, QUERY_BLOCK = 4096, 16384  #: indexed vectors and queries of a list that one task compares
+FOUND = "id BIGINT, neighbour BIGINT, cosine DOUBLE"
 
 
 class Index:
@@ -25,9 +25,11 @@ class Index:
     def __init__(self, centres: np.ndarray, books: np.ndarray):
         self.centres, self.books = centres, books
 
-    def encode(self, residuals: np.ndarray) -> np.ndarray:
+    def encode(self, residuals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of residuals, and how far each residual is from what its codes stand for."""
         width = residuals.shape[1] // PARTS
-        return np.column_stack([kmeans.nearest(residuals[:, p * width : (p + 1) * width], self.books[p])[0][:, 0] for p in range(PARTS)]).astype(np.uint8)
+        found = [kmeans.nearest(np.ascontiguousarray(residuals[:, p * width : (p + 1) * width]), self.books[p]) for p in range(PARTS)]
+        return np.column_stack([which[:, 0] for which, _ in found]), np.sqrt(sum(far[:, 0] for _, far in found))
 
     def tables(self, residual_queries: np.ndarray) -> np.ndarray:
         """Asymmetric distances (query, part, code): squared distance of each sub-query to each codeword."""
@@ -39,17 +41,13 @@ class Index:
         return out
 
 
-def _unit32(batch: pa.RecordBatch) -> np.ndarray:
-    return unit(kmeans.matrix(batch["vec"], DIMS)).astype(np.float32)
-
-
 def fit_index(vectors: DataFrame, n: int, sample_rows: int = 65_536) -> Index:
     """An index of about sqrt(n) lists, fitted on at most about `sample_rows` vectors (at least 64 a list), drawn by a hash of the id."""
-    lists = max(1, min(math.isqrt(n), 65_536))
+    lists = max(1, min(math.isqrt(n), kmeans.MOST))
     want = max(sample_rows, 64 * lists)
     sample = vectors if n <= want else vectors.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(1_000_003 * want / n))
     sample = materialise(sample.select("id", "vec"), "sample")
-    centres = kmeans.fit(sample, lists, DIMS, decode=_unit32, seeding_rounds=2, lloyd_rounds=2)
+    centres = kmeans.fit(sample, lists, DIMS, decode=unit32, seeding_rounds=2, lloyd_rounds=2)
     if not len(centres):
         return Index(centres, np.zeros((PARTS, 1, DIMS // PARTS), np.float32))
 
@@ -59,11 +57,12 @@ def fit_index(vectors: DataFrame, n: int, sample_rows: int = 65_536) -> Index:
         for b in batches:
             pick = kmeans.unit_random(b["id"].to_numpy(), 11) < few
             if pick.any():
-                x = _unit32(b)[pick]
+                x = unit32(b)[pick]
                 r = x - centres[kmeans.nearest(x, centres)[0][:, 0]]
                 yield pa.RecordBatch.from_pydict({"vec": [v.tobytes() for v in r]})
 
     drawn = sample.mapInArrow(residuals, "vec BINARY").collect()  # about 16 384 residuals, 4 MB
+    discard(sample)
     r = kmeans.matrix(sorted(x["vec"] for x in drawn), DIMS) if drawn else np.zeros((1, DIMS), np.float32)
     width = DIMS // PARTS
     books = np.zeros((PARTS, CODES, width), np.float32)
@@ -74,125 +73,94 @@ def fit_index(vectors: DataFrame, n: int, sample_rows: int = 65_536) -> Index:
     return Index(centres, books)
 
 
-def _search(index: Index, keep: int, shortlist: int, least: float):
-    schema = {"key": "object", "ids": "object", "cosines": "object"}
+def _best(a: np.ndarray, b: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the distinct links a -> b the k of each a with the greatest score, then the smallest b."""
+    order = np.lexsort((b, -score, a))
+    a, b, score = a[order], b[order], score[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+    a, b, score = a[new], b[new], score[new]
+    start = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
+    rank = np.arange(len(a)) - np.repeat(start, np.diff(np.r_[start, len(a)]))
+    return a[rank < k], b[rank < k], score[rank < k]
 
+
+def _search(index: Index, k: int, least: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        base, query = pdf[pdf["indexed"]], pdf[~pdf["indexed"]]
-        if not len(base) or not len(query):
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in schema.items()})
-        base = base.sort_values("id")
+        ids, first, home, every = cells.roles(pdf)
+        none = pd.DataFrame({"id": pd.Series(dtype="int64"), "neighbour": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
+        if not len(home) or not len(every):
+            return none
+        x = unit(kmeans.matrix(pdf["vec"].iloc[first].tolist(), DIMS))
         centre = index.centres[int(pdf["cell"].iloc[0])]
-        ids, x = base["id"].to_numpy(), unit(kmeans.matrix(base["vec"].tolist(), DIMS))
-        codes = np.frombuffer(b"".join(base["code"]), np.uint8).reshape(-1, PARTS)
-        keys, q = query["key"].to_numpy(), unit(kmeans.matrix(query["vec"].tolist(), DIMS))
-        out: list[tuple] = []
-        short = min(shortlist, len(ids))
-        radius = (math.sqrt(max(0.0, 2 - 2 * least)) + 0.35) ** 2  # the coding error of most vectors is below 0.35
-
-        def emit(names: np.ndarray, cosine: np.ndarray, found: np.ndarray) -> None:
-            for row in np.flatnonzero((cosine >= least).any(axis=1)):
-                m = np.flatnonzero(cosine[row] >= least)
-                c, i = cosine[row][m], found[row][m]
-                order = np.lexsort((i, -c))[:keep]
-                out.append((names[row], i[order], c[order]))
-
-        chunk = max(16, min(512, 2_000_000 // len(ids)))
-        for at in range(0, len(q), chunk):
-            part = q[at : at + chunk]
-            tables = index.tables((part - centre).astype(np.float32))
-            distance = np.zeros((len(part), len(ids)), np.float32)
-            for p in range(PARTS):
-                distance += tables[:, p][:, codes[:, p]]
-            close = (distance <= radius).sum(axis=1) > short
-            if (~close).any():
-                part_, far = part[~close], distance[~close]
-                best = np.argpartition(far, short - 1, axis=1)[:, :short] if short < len(ids) else np.tile(np.arange(len(ids)), (len(part_), 1))
-                cosine = np.round(np.einsum("qd,qsd->qs", part_, x[best]), 6)
-                emit(keys[at : at + chunk][~close], cosine, ids[best])
-            if close.any():  # a dense neighbourhood: everything inside the radius is reranked
-                inside = distance[close] <= radius
-                some = inside.any(axis=0)
-                cosine = np.where(inside[:, some], np.round(part[close] @ x[some].T, 6), -2.0)
-                emit(keys[at : at + chunk][close], cosine, np.broadcast_to(ids[some], cosine.shape))
-        return pd.DataFrame(out, columns=list(schema))
+        listed, whole = x[home], np.arange(len(home))
+        codes, error = index.encode((listed - centre).astype(np.float32))
+        # What lies within the radius lies, by its codes, within the radius and its own coding error: nothing is missed.
+        within = ((math.sqrt(max(0.0, 2 - 2 * least)) + error + 1e-3) ** 2).astype(np.float32)
+        links: list[tuple[np.ndarray, ...]] = []
+        chunk = max(16, min(512, 2_000_000 // len(home)))
+        for at in range(0, len(every), chunk):
+            rows = every[at : at + chunk]
+            q = x[rows]
+            tables = index.tables((q - centre).astype(np.float32))
+            distance = np.take(tables[:, 0], codes[:, 0], axis=1)
+            for p in range(1, PARTS):
+                distance += np.take(tables[:, p], codes[:, p], axis=1)
+            i, j = np.nonzero(distance <= within)
+            if len(i) > distance.size // 32:
+                cosine = np.round(q @ listed.T, 6)
+                i, j = np.nonzero((cosine >= least) & (distance <= within))
+                cosine = cosine[i, j]
+            else:
+                cosine = np.round(np.einsum("ij,ij->i", q[i], listed[j]), 6)
+            keep = (cosine >= least) & (rows[i] != home[j])
+            i, j, cosine = rows[i[keep]], home[j[keep]], cosine[keep]
+            links.append(_best(np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([cosine, cosine]), k))
+            if len(links) > 32:
+                links = [_best(*map(np.concatenate, zip(*links)), k)]
+        a, b, cosine = map(np.concatenate, zip(*links)) if links else (whole[:0],) * 3
+        if not len(a):
+            return none
+        a, b, cosine = _best(a, b, cosine, k)
+        return pd.DataFrame({"id": ids[a], "neighbour": ids[b], "cosine": cosine})
 
     return run
 
 
-def most_similar(vectors: DataFrame, k: int = 5, least: float = 0.90, probes: int = 6, shortlist: int = 48) -> DataFrame:
+def most_similar(vectors: DataFrame, k: int = 5, least: float = 0.90, slack: float | None = cells.SLACK) -> DataFrame:
     """(id, neighbour, cosine, rank): for every vector its k most similar others with a cosine of `least` or more.
 
-    vectors (id, vec BINARY of float32), one row per id; rows with a null are left out. Equal directions are merged first: of the records that share
-    one, the k + 1 smallest ids are indexed and one query stands for all, so a third of all rows being copies costs a
-    third less. Every vector lies in the list of its nearest coarse centroid; a query visits `probes` lists, ranks
-    them by asymmetric distances to the product codes, and reranks the `shortlist` best of each list by exact
-    cosines, rounded to six decimals, ties to the smaller id. Lists too large for one task are searched in blocks.
-    Measured recall against brute force is in the README. An empty table gives an empty result.
-    """
-    schema = "id BIGINT, key STRING, vec BINARY"
+    vectors (id, vec BINARY of float32), one row per id; rows with a null are left out. Equal directions are merged
+    first: the smallest id of each is indexed and asks for all, so a third of all rows being copies costs a third
+    less. Every vector lies in the list of its nearest coarse centroid, and visits the lists whose border it is near
+    (see cells.visits); a list is scanned by asymmetric distances to the product codes of its vectors, and all within the
+    radius plus the coding error of the vector are reranked by exact cosines, rounded to six decimals, ties to the
+    smaller id. What meets in a list is found for both sides, and nothing within it is missed.
 
-    def directions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
-        for b in batches:
-            if b.num_rows:
-                u = _unit32(b) + np.float32(0)
-                yield pa.RecordBatch.from_arrays([b["id"], pa.array([hashlib.md5(v.tobytes()).hexdigest() for v in u]), b["vec"]], ["id", "key", "vec"])
-
-    keyed = materialise(vectors.select("id", "vec").where("id is not null and vec is not null").mapInArrow(directions, schema), "directions")
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-    base = materialise(keyed.withColumn("place", rank).where(F.col("place") <= k + 1), "base", n=F.count(F.lit(1)))
-    index = fit_index(base, base.measured["n"])
-    cells = len(index.centres)
-    if not cells:
+    With slack=None no pair can be missed at all, at several times the cost; the recall of the default is in the README. Lists too large for one
+    task are searched in blocks. An empty table gives an empty result.
+    """
+    keyed = materialise(directions(vectors.select("id", "vec").where("id is not null and vec is not null")).select("id", "key", "vec"), "directions")
+    groups = materialise(keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "groups", n=F.count(F.lit(1)), most=F.max("n"))
+    n, several = groups.measured["n"], (groups.measured["most"] or 0) > 1
+    copies = keyed.join(groups.where("n > 1").select("key", "rep"), "key").select("rep", "id") if several else keyed.select(F.col("id").alias("rep"), "id").limit(0)
+    base = materialise(keyed.join(groups.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "vec"), "base") if several else keyed.select("id", "vec")
+    index = fit_index(base, n)
+    if not len(index.centres):
         return keyed.select("id", F.col("id").alias("neighbour"), F.lit(0.0).alias("cosine"), F.lit(1).alias("rank")).limit(0)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexed, asked = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
-        for b in batches:
-            if b.num_rows:
-                which, _ = kmeans.nearest(_unit32(b), index.centres, probes)
-                indexed += np.bincount(which[:, 0], minlength=cells)
-                asked += np.bincount(which[b["place"].to_numpy() == 1].ravel(), minlength=cells)
-        yield pa.RecordBatch.from_pydict({"cell": np.arange(cells, dtype=np.int32), "indexed": indexed, "asked": asked})
-
-    base_blocks, query_blocks = np.ones(cells, np.int64), np.ones(cells, np.int64)
-    for r in base.mapInArrow(count, "cell INT, indexed BIGINT, asked BIGINT").groupBy("cell").agg(F.sum("indexed").alias("indexed"), F.sum("asked").alias("asked")).collect():  # one row per list
-        base_blocks[r["cell"]] = max(1, -(-r["indexed"] // BASE_BLOCK))
-        query_blocks[r["cell"]] = max(1, -(-r["asked"] // QUERY_BLOCK))
-
-    placed = "cell INT, i INT, j INT, indexed BOOLEAN, id BIGINT, key STRING, code BINARY, vec BINARY"
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = _unit32(b)
-            which, _ = kmeans.nearest(x, index.centres, probes)
-            u = kmeans.unit_random(b["id"].to_numpy(), 5)
-            code = pa.array([c.tobytes() for c in index.encode(x - index.centres[which[:, 0]])], pa.binary())
-            first = b["place"].to_numpy() == 1
-            for p in range(-1, which.shape[1]):  # -1: as an indexed vector
-                c = which[:, max(p, 0)]
-                bb, qb = base_blocks[c], query_blocks[c]
-                copies, own = (qb, (u * bb).astype(np.int32)) if p < 0 else (bb, (u * qb).astype(np.int32))
-                for t in range(int(copies.max())):
-                    m = np.flatnonzero((copies > t) & (first | (p < 0)))
-                    if len(m):
-                        take = pa.array(m)
-                        other = np.full(len(m), t, np.int32)
-                        i, j = (own[m], other) if p < 0 else (other, own[m])
-                        none = pa.nulls(len(m), pa.binary())
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(c[m].astype(np.int32)), pa.array(i), pa.array(j), pa.array(np.full(len(m), p < 0)), b["id"].take(take), b["key"].take(take), code.take(take) if p < 0 else none, b["vec"].take(take)],
-                            ["cell", "i", "j", "indexed", "id", "key", "code", "vec"],
-                        )
-
-    found = base.mapInArrow(place, placed).groupBy("cell", "i", "j").applyInPandas(_search(index, k + 1, shortlist, least), "key STRING, ids ARRAY<BIGINT>, cosines ARRAY<DOUBLE>")
-    # At most probes * blocks short lists a query.
-    merged = found.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list(F.transform(F.arrays_zip("ids", "cosines"), lambda z: F.struct((-z["cosines"]).alias("order"), z["ids"].alias("neighbour")))))).alias("best"))
-    merged = merged.select("key", F.slice("best", 1, k + 1).alias("best"))
-    own = keyed.select("id", "key").join(merged, "key")
-    others = own.select("id", F.slice(F.filter("best", lambda z: z["neighbour"] != F.col("id")), 1, k).alias("best"))
-    return others.select("id", F.posexplode("best").alias("at", "z")).select("id", F.col("z.neighbour").alias("neighbour"), (-F.col("z.order")).alias("cosine"), (F.col("at") + 1).alias("rank"))
+    placed = cells.place(base, index.centres, math.sqrt(2 - 2 * least), slack, unit32, ["id", "vec"])
+    found = placed.groupBy("cell", "i", "j").applyInPandas(_search(index, k, least), FOUND)
+    # A pair may be found in two lists. One shuffle by id serves both the merging and the choice.
+    links = found.repartition("id").groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
+    order = [F.desc("cosine"), F.col("neighbour")]
+    if several:
+        # k keys hold the k best ids: of each of them the first k ids are enough, and k + 1 of the own key.
+        firsts = copies.withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("at") <= k + 1)
+        held = materialise(firsts.groupBy("rep").agg(F.array_sort(F.collect_list("id")).alias("ids")), "copies")
+        links = links.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where(F.col("at") <= k)
+        links = links.join(held.withColumnRenamed("rep", "neighbour"), "neighbour", "left").select("id", F.explode(F.coalesce("ids", F.array("neighbour"))).alias("neighbour"), "cosine")
+        links = links.unionByName(held.select(F.col("rep").alias("id"), F.explode("ids").alias("neighbour"), F.lit(1.0).alias("cosine")))
+        links = materialise(links.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where(F.col("at") <= k + 1).drop("at"), "links")
+        others = links.withColumnRenamed("id", "rep").join(copies.where("id <> rep"), "rep").select("id", "neighbour", "cosine")
+        links = links.unionByName(others).where("id <> neighbour")
+    best = links.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where(F.col("rank") <= k)
+    return best.select("id", "neighbour", "cosine", "rank")

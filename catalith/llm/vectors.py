@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import cores
 from ..sources.tables import clean_fingerprint, current, latest, table
+from .kmeans import matrix
 
 DIMS = 64
 
@@ -37,6 +39,24 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def unit32(batch: pa.RecordBatch) -> np.ndarray:
+    return unit(matrix(batch["vec"], DIMS)).astype(np.float32)
+
+
+def directions(rows: DataFrame) -> DataFrame:
+    """`rows` (vec BINARY of float32) with `key`, a hash of the direction of vec: equal for vectors that differ in length only."""
+    others = [c for c in rows.columns if c != "key"]
+    schema = ", ".join(f"`{c}` {dict(rows.dtypes)[c]}" for c in others) + ", key STRING"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                keys = [hashlib.md5(v.tobytes()).hexdigest() for v in unit32(b) + np.float32(0)]
+                yield pa.RecordBatch.from_arrays([*(b[c] for c in others), pa.array(keys)], [*others, "key"])
+
+    return rows.select(*others).mapInArrow(run, schema)
+
+
 def current_vectors(spark: SparkSession, d: str, version: str = "2.1") -> DataFrame:
     """(id, vec): the vector of each asset whose row is of `version` and of the fingerprint of the asset's current row.
 

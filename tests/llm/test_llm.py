@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from catalith.llm import kmeans, leakage, mixing, neighbours, pii
+from catalith.llm import cells, kmeans, leakage, mixing, neighbours, pii
 from catalith.llm.clusters import cliques, similarity_clusters, typical_members
 from catalith.llm.common import words
 from catalith.llm.survivors import best_records, most_common
@@ -136,6 +136,44 @@ def test_clusters_match_brute_force(spark):
     assert similarity_clusters(b.limit(0)).count() == 0
 
 
+def test_similar_rows_meet_in_a_cell():
+    x = unit(vectors(4, alone=400)).astype(np.float32)
+    centres = kmeans.weighted_kmeans(x, np.ones(len(x)), 25)
+    d = np.sqrt(np.maximum(2 - 2 * x @ x.T, 0))
+    for radius in (0.1, 0.3, 0.5):
+        home, rows, to = cells.visits(x, centres, radius, None)
+        assert (home == kmeans.nearest(x, centres)[0][:, 0]).all()
+        there = np.zeros((len(x), len(centres)), bool)
+        there[np.arange(len(x)), home] = there[rows, to] = True
+        meet = there[:, home] | there[:, home].T
+        assert meet[d <= radius].all()
+    home, rows, to = cells.visits(x, centres, 0.5, 0.02)
+    assert len(rows) < (~np.eye(len(centres), dtype=bool)[home]).sum() / 2
+
+
+def test_the_largest_clique_is_found():
+    import itertools
+
+    r = np.random.default_rng(6)
+    for n, share in ((9, 0.5), (11, 0.7), (12, 0.9)):
+        near = np.triu(r.random((n, n)) < share, 1)
+        near = near | near.T | np.eye(n, dtype=bool)
+        most = max(len(c) for size in range(1, n + 1) for c in itertools.combinations(range(n), size) if near[np.ix_(c, c)].all())
+        label = cliques(near)
+        groups = [np.flatnonzero(label == g) for g in set(label) - {-1}]
+        assert max(map(len, groups)) == most and all(near[np.ix_(g, g)].all() and len(g) > 1 for g in groups)
+
+
+def test_copies_and_exact_mode_of_clusters(spark):
+    x = vectors(11)
+    x = np.vstack([x, x[:5], x[-4:]]).astype(np.float32)
+    u = unit(x)
+    near = u @ u.T >= 0.92
+    expected = {(int(np.flatnonzero(near[i])[0]) * 3 + 1, i * 3 + 1) for i in range(len(x)) if near[i].sum() > 1}
+    for slack in (cells.SLACK, None):
+        assert {tuple(r) for r in similarity_clusters(base(spark, x), slack=slack).collect()} == expected
+
+
 def test_chains_are_split_into_cliques():
     near = np.eye(5, dtype=bool)
     for a, b in ((0, 1), (0, 2), (1, 2), (2, 3), (3, 4)):
@@ -147,8 +185,8 @@ def test_large_components_are_certified(spark, monkeypatch):
     import catalith.llm.clusters as module
 
     monkeypatch.setattr(module, "WHOLE", 20)
-    monkeypatch.setattr(module, "HOME_BLOCK", 16)
-    monkeypatch.setattr(module, "ALL_BLOCK", 32)
+    monkeypatch.setattr(cells, "HOME_BLOCK", 16)
+    monkeypatch.setattr(cells, "ALL_BLOCK", 32)
     centre = np.random.default_rng(5).normal(size=64)
     x = np.array([centre + np.random.default_rng(i).normal(size=64) * 0.05 for i in range(90)], np.float32)
     got = similarity_clusters(base(spark, x)).collect()
@@ -200,7 +238,8 @@ def test_large_knots_come_out_as_small_ones_do(spark, monkeypatch):
 
 
 def test_neighbours_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BASE_BLOCK", 40)
+    monkeypatch.setattr(cells, "HOME_BLOCK", 20)
+    monkeypatch.setattr(cells, "ALL_BLOCK", 40)
     x = vectors(7)
     ids = np.arange(len(x)) * 3 + 1
     u = unit(x)
@@ -208,9 +247,11 @@ def test_neighbours_match_brute_force(spark, monkeypatch):
     np.fill_diagonal(s, -2)
     expected = {(int(ids[i]), int(ids[j])) for i in range(len(x)) for j in np.lexsort((ids, -s[i]))[:5] if s[i, j] >= 0.9}
     clash = base(spark, x).withColumns({"key": F.lit("x"), "place": F.lit(3)})
-    got = neighbours.most_similar(clash.union(clash.limit(1).withColumn("vec", F.lit(None).cast("binary"))), k=5, least=0.9).collect()
-    assert len(expected - {(r.id, r.neighbour) for r in got}) <= 0.02 * len(expected)
-    assert {(r.id, r.neighbour) for r in got} <= expected or len(expected) - len(got) <= 2
+    rows = clash.union(clash.limit(1).withColumn("vec", F.lit(None).cast("binary")))
+    for slack in (cells.SLACK, None):
+        got = neighbours.most_similar(rows, k=5, least=0.9, slack=slack).collect()
+        assert {(r.id, r.neighbour) for r in got} == expected and len(got) == len(expected)
+        assert all(round(float(u[(r.id - 1) // 3] @ u[(r.neighbour - 1) // 3]), 6) == r.cosine for r in got)
     assert neighbours.most_similar(base(spark, x[:0]).select("id", "vec")).count() == 0
 
 
