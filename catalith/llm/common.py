@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import regex
 from pyspark.sql import DataFrame
 
@@ -10,6 +12,7 @@ from ..session import cores
 #: Invisible characters: format controls (soft hyphen, zero-width, joiners, bidi marks), variation selectors, grapheme joiner.
 INVISIBLE = regex.compile("[\\p{Cf}͏ᅟᅠ឴឵᠋-᠏︀-️\U000e0100-\U000e01ef]+")
 WORD = regex.compile(r"[\p{L}\p{N}]+")
+ASCII_WORD = re.compile(r"[a-z0-9]+")
 
 
 def words(text: str | None) -> list[str]:
@@ -18,6 +21,8 @@ def words(text: str | None) -> list[str]:
 
     if not text:
         return []
+    if text.isascii():  # its only odd characters are no letters, and it has no other forms
+        return ASCII_WORD.findall(text.lower())
     clean = unicodedata.normalize("NFKC", INVISIBLE.sub("", text)).casefold()
     return WORD.findall(unicodedata.normalize("NFKC", clean))
 
