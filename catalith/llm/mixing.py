@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,22 +10,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import discard, materialise
 from .common import fan_out
 from .kmeans import unit_random
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"  #: used where neither a call nor spark.catalith.tokenizer names one
+MOST_SOURCES = 10_000  #: rows of targets, which are planned on the driver
 CHUNK = 20_000  #: documents that one task rounds together
 FAN_IN = 64  #: residuals that one node of the reduction tree combines
 _OUT = "source STRING, node BIGINT, doc_id BIGINT, tokens BIGINT, mass DOUBLE, final BOOLEAN"
 
 
-def count_tokens(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def count_tokens(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """`documents` (doc_id, source, text) with `tokens` of the whole text instead of the text; null and empty texts have none.
 
     tokenizer: path of a tokenizer file that all executors see. It is loaded once a task; texts are encoded in batches.
     """
 
+    tokenizer = tokenizer or documents.sparkSession.conf.get("spark.catalith.tokenizer", TOKENIZER)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from tokenizers import Tokenizer
 
@@ -44,7 +48,7 @@ def pivotal(mass: np.ndarray, tokens: np.ndarray, ids: np.ndarray, seed: int) ->
     """Pair fractional probabilities and move token mass between the two until one is 0 or 1; at most one stays fractional.
 
     A pair moves along the line that keeps tokens * probability constant, to one end or the other with the chances
-    that keep both expectations. Units of no tokens are rounded up alone. The order and the chances come from ids.
+    that keep both expectations. The order and the chances come from ids; all tokens are positive.
     """
     p = mass.copy()
     u = unit_random(ids, seed)
@@ -52,9 +56,6 @@ def pivotal(mass: np.ndarray, tokens: np.ndarray, ids: np.ndarray, seed: int) ->
     for i in np.argsort(unit_random(ids, seed + 1), kind="stable"):
         if not 0 < p[i] < 1:
             continue
-        if tokens[i] <= 0:
-            p[i] = 1.0
-            continue
         if held < 0:
             held = i
             continue
@@ -100,24 +101,39 @@ def plan(sizes: list[tuple[str, int]], targets: list[tuple[str, float, int]], to
     return [{"source": s, "share": share / whole, "cap": int(cap), "copies": min(float(cap), share / whole * total / have[s])} for s, share, cap in rows]
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, tokenizer: str = TOKENIZER, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def _settled(chosen: DataFrame, short: DataFrame) -> DataFrame:
+    """(doc_id, extra) changed for at most one document a source: the copy whose tokens come nearest to what the source is short of, or over by.
+
+    chosen (source, doc_id, tokens, extra 0 or 1), short (source, short: tokens, negative where there are too many).
+    """
+    x = chosen.join(F.broadcast(short), "source").where(F.col("extra") == F.when(F.col("short") > 0, 0).otherwise(1))
+    rest = F.abs(F.col("short")) - F.col("tokens")
+    best = x.groupBy("source").agg(F.min(F.struct(F.abs(rest).alias("left"), "doc_id", "extra")).alias("b"), F.first("short").alias("short"))
+    best = best.where(F.col("b.left") < F.abs(F.col("short"))).select(F.col("b.doc_id").alias("doc_id"), (1 - F.col("b.extra")).alias("change"))
+    return chosen.join(F.broadcast(best), "doc_id", "left").select("doc_id", F.coalesce("change", "extra").alias("extra"))
+
+
+def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, tokenizer: str | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """The mix (doc_id, source, tokens, copies) and its report (source, target_share, reached_share, tokens, documents, copies, max_copies).
 
-    documents (doc_id unique, source, text), targets (source, target_share, max_repeats; a repeated source counts with
-    its last share). Every document of a source gets floor(c) or floor(c) + 1 copies, c the copies its source needs;
-    which one is decided by pivotal rounding of the fractions, in chunks of CHUNK documents, whose single residuals are
-    combined FAN_IN at a time up a tree. Each source therefore ends within one document of its target, no document is
-    repeated above its cap, and the outcome depends on ids and `seed` only. Sources without target, null sources and
-    documents of sources without tokens are left out; targets without documents are reported with share 0; empty
-    tables give an empty mix.
+    documents (doc_id unique, source, text), targets (source, target_share, max_repeats; at most MOST_SOURCES rows, else
+    ValueError; a repeated source counts with its greatest share). Every document of a source gets floor(c) or
+    floor(c) + 1 copies, c the copies its source needs; which one is decided by pivotal rounding of the fractions, in
+    chunks of CHUNK documents, whose single residuals are combined FAN_IN at a time up a tree. The one that is left is
+    rounded, and one copy of the source is added or dropped where that brings its tokens nearer to the target: a source
+    is off by no more than half a document of its own, and by far less where it has many. No document is repeated above
+    its cap, and the outcome depends on ids and `seed` only. Sources without target, null sources and documents without
+    tokens are left out; targets without documents are reported with share 0; empty tables give an empty mix.
     """
     spark = documents.sparkSession
     docs = documents.where("doc_id is not null and source is not null").select("doc_id", "source", "text")
-    wanted = targets.where("source is not null").select("source", F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("int").alias("cap"))
-    sized = materialise(count_tokens(docs.join(wanted.select("source").distinct(), "source", "left_semi"), tokenizer), "tokens")
+    wanted = targets.where("source is not null").groupBy("source").agg(F.max(F.struct(F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("int").alias("cap"))).alias("w")).select("source", "w.share", "w.cap")
+    goal = sorted(tuple(r) for r in wanted.limit(MOST_SOURCES + 1).collect())
+    if len(goal) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    goal_df = F.broadcast(spark.createDataFrame(goal, "source STRING, target_share DOUBLE, max_repeats INT"))
+    sized = materialise(count_tokens(docs.join(goal_df.select("source"), "source", "left_semi"), tokenizer).where("tokens > 0"), "tokens")
     sums = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()  # one row per target source
-    goal = [tuple(r) for r in wanted.collect()]
-    goal = list({s: (s, share, cap) for s, share, cap in goal}.values())
     steps = plan([(r["source"], r["tokens"]) for r in sums], goal, total)
     steps_df = spark.createDataFrame([(p["source"], p["share"], p["cap"], p["copies"]) for p in steps], "source STRING, share DOUBLE, cap INT, copies DOUBLE")
     rows = sized.join(F.broadcast(steps_df), "source").withColumns({"base": F.floor(F.col("copies") + 1e-12).cast("int")})
@@ -129,20 +145,24 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, toke
     width, depth = max([1, *chunks.values()]), 0
     while True:
         done = materialise(level.groupBy("source", "node").applyInPandas(_node(seed + 10 * depth), _OUT), "rounded", open=F.count_if(~F.col("final")))
-        decided.append(done.where("final").select("doc_id", F.col("mass").cast("int").alias("extra")))
+        take = F.round("mass").cast("int").alias("extra")
+        decided.append(done.where("final").select("source", "doc_id", "tokens", take))
         rest = done.where("not final")
         if width == 1 or not done.measured["open"]:
-            # One residual per source is left: it becomes a copy with its own probability.
-            coin = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-            decided.append(rest.select("doc_id", (coin < F.col("mass")).cast("int").alias("extra")))
+            decided.append(rest.select("source", "doc_id", "tokens", take))  # at most one residual a source
             break
         width, depth = -(-width // FAN_IN), depth + 1
         level = rest.select("source", F.floor(F.col("node") / FAN_IN).alias("node"), "doc_id", "tokens", "mass")
-    extra = decided[0]
+    chosen = decided[0]
     for x in decided[1:]:
-        extra = extra.unionByName(x)
+        chosen = chosen.unionByName(x)
+    mass = {p["source"]: p["copies"] - math.floor(p["copies"] + 1e-12) for p in steps}
+    got = {r["source"]: r["t"] for r in chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("extra")).alias("t")).collect()}  # one row per target source
+    short = [(r["source"], mass[r["source"]] * r["tokens"] - got[r["source"]]) for r in sums if r["source"] in got]
+    extra = _settled(chosen, spark.createDataFrame(short, "source STRING, short DOUBLE"))
     mixed = rows.join(extra, "doc_id", "left").select("doc_id", "source", "tokens", (F.col("base") + F.coalesce("extra", F.lit(0))).alias("copies"))
     mixed = materialise(mixed.where("copies > 0"), "mixed", all=F.sum(F.col("tokens") * F.col("copies")))
+    discard(sized)
     whole = mixed.measured["all"] or 1
     got = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.sum("copies").alias("copies"), F.max("copies").alias("max_copies"))
     zero = F.lit(0).cast("bigint")
