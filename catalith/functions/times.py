@@ -15,8 +15,10 @@ ABBREVIATIONS = {
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?:\s*([AaPp])\.?[Mm]\b\.?)?"
-_ZONE = r"\s*([+-]\d{2}:?\d{0,2}|[A-Za-z]{1,5}|[A-Za-z_]+(?:/[A-Za-z0-9_+-]+)+)?\s*(?:\[([A-Za-z0-9_+/-]+)\])?"
-_REST = rf"(?:,?[Tt_ ]\s*{_CLOCK}{_ZONE})?$"
+_ZONE = r"\s*+([+-]\d{2}:?\d{0,2}|[A-Za-z]{1,5}|[A-Za-z_]+(?:/[A-Za-z0-9_+-]+)+)?\s*+(?:\[([A-Za-z0-9_+/-]+)\])?"
+_REST = rf"(?:,?[Tt_ ]\s*+{_CLOCK}{_ZONE})?$"
+#: Blanks around a text; each run is tried once, so long runs inside cost no more than their length.
+_AROUND = r"^[\s\u00a0\u200b\ufeff]++|(?<![\s\u00a0\u200b\ufeff])[\s\u00a0\u200b\ufeff]++$"
 #: Layout, and where its year, month and day stand; the other groups are hour, minute, second, fraction, half of day, zone, bracket.
 LAYOUTS = [
     (rf"^(\d{{4}})[-:/](\d{{1,2}})[-:/](\d{{1,2}}){_REST}", "$1|$2|$3"),
@@ -39,14 +41,13 @@ def with_instant(df: DataFrame, text: str, zone: str, ms: str = "ms", own: str =
 
     Both are null when the text is unreadable or names an impossible moment. Local times without a zone are read in
     `zone` (an IANA name; null means UTC). A local time that occurs twice is the first, a skipped one is read with the
-    offset before the change. Digits finer than a millisecond are cut. Null and empty texts, and texts of more than 80
-    characters, give null. Slashed dates are month first, dotted ones day first; bare digits are Unix time in s, ms, us
+    offset before the change. Digits finer than a millisecond are cut. Null and empty texts, and what
+    fits no layout as a whole, give null, whatever their length; blanks around a text do not count. Slashed dates are month first, dotted ones day first; bare digits are Unix time in s, ms, us
     or ns by their number of digits; missing clock parts are zero; 24:00:00 is the next midnight.
 
     Each step is a projection of its own, so that a value used several times is computed once and code stays small.
     """
-    s = F.regexp_replace(F.col(text), r"^[\s\u00a0\u200b\ufeff]+|[\s\u00a0\u200b\ufeff]+$", "")
-    x = df.withColumn("_s", F.when(F.length(text) <= 80, s))
+    x = df.withColumn("_s", F.regexp_replace(F.col(text), _AROUND, ""))
     odd = F.col("_s").rlike("年|^\\d{8}[Tt]|[Tt ]\\d{2}(?:$|[Zz]$|[+-]\\d{2})")
     fixed = F.col("_s")
     for pattern, to in REWRITES:

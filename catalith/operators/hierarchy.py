@@ -51,8 +51,9 @@ def _walk(ids: np.ndarray, parents: np.ndarray, names: list[str] | None = None)
         if at >= 0 and colour[at] == grey:
             ring = walk[walk.index(at) :]
             cycle[ring] = True
-            root[ring] = ids[ring].min()
-            back[ring[-1]] = at
+            low = min(ring, key=lambda v: ids[v])
+            root[ring] = ids[low]
+            back[next(v for v in ring if parents[v] == low)] = low
         colour[walk] = black
     # Downward from roots and from rings: preorder gives depth, root and path; its reverse gives the counts.
     preorder = []
@@ -124,7 +125,7 @@ def hierarchy(rows: DataFrame, node: str, parent: str, name: str | None = None,
 
     rows: at most one row per node (null nodes are ignored, repeated nodes keep the smallest parent). A parent that is
     null or has no row makes a root of depth 0. A node that never reaches a root has depth -1, the smallest node of the
-    cycle it runs into as root, and no path; back_edge_to is set on the one node of a cycle whose edge closed it.
+    cycle it runs into as root, and no path; back_edge_to is set on one node of each cycle, the child of its smallest.
     n_below counts the other nodes that reach the node. path joins the escaped names from the root, when `name` is given.
 
     Components of up to `max_component` nodes are co-located, many to a task, and traversed depth-first; larger ones are
@@ -184,8 +185,7 @@ def by_doubling(nodes: DataFrame) -> DataFrame:
     """:func:`hierarchy` for nodes (node_id, parent[, name]) of any depth and size, by doubling the ancestor pointers.
 
     After k steps every node knows its 2^k-th ancestor, the least node up to there and how many nodes lie below it
-    within 2^k steps; the count grows by a map-side combined sum over the nodes that point to it. The node that closes
-    a cycle is taken to be the child of its smallest node.
+    within 2^k steps; the count grows by a map-side combined sum over the nodes that point to it.
     """
     named = "name" in nodes.columns
     piece = F.concat(F.lit("/"), F.col("name")) if named else F.lit(None).cast("string")

@@ -16,17 +16,25 @@ class TimeDictionary:
 
     A text is parsed once in the life of the table: :meth:`learn` adds only triples that are not there yet, so a later
     batch parses what is new. Unreadable texts stay in the table with a null instant and are not tried again.
-    Null texts are never stored. The table lies in the shared folder unless `path` is given.
+    Null texts are never stored. The table lies at `path`, else where spark.catalith.times names a lasting table, else
+    in the shared folder for this instance alone (see :meth:`drop`). Loads that run twice or side by side only repeat
+    triples, which count once.
     """
 
     def __init__(self, spark, path: str | None = None):
-        self.spark, self.path = spark, path or fresh_path(spark, "times")
+        lasting = spark.conf.get("spark.catalith.times", None)
+        self.spark, self.path, self.fresh = spark, path or lasting or fresh_path(spark, "times"), not (path or lasting)
 
     def read(self) -> DataFrame | None:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         there = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
         return self.spark.read.schema(DICTIONARY).parquet(self.path) if there else None
 
+    def drop(self) -> None:
+        """Delete the table; a lasting one is kept by its owner, see :attr:`fresh`."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
     def learn(self, rows: DataFrame, text: str, zone: str, source: str = "-") -> TimeDictionary:
         """Add the triples of `rows` (zone: a column of IANA names, null for UTC)."""
         found = rows.where(F.col(text).isNotNull()).select(F.col(text).alias("raw"), F.coalesce(F.col(zone), F.lit("UTC")).alias("zone"), F.lit(source).alias("source")).distinct()
@@ -45,7 +53,8 @@ class TimeDictionary:
         columns replace columns of the same name.
         """
         known = self.read().where((F.col("source") == source) & F.col("ms").isNotNull())
-        lookup = known.select(F.col("raw").alias("_raw"), F.col("zone").alias("_zone"), F.col("ms").alias("_ms"), F.col("own_zone").alias("_own"))
+        # Grouped by the keys of the join, so merging repeated triples costs no shuffle of its own.
+        lookup = known.groupBy(F.col("raw").alias("_raw"), F.col("zone").alias("_zone")).agg(F.max("ms").alias("_ms"), F.max("own_zone").alias("_own"))
         left = rows.drop("instant_ms", "own_zone")
         # Nulls would all meet in one task: they are given a spread of keys that no text has.
         key = F.coalesce(F.col(text), F.concat(F.lit("\u0000"), F.pmod(F.hash(*[F.col(c) for c in left.columns]), F.lit(997)).cast("string")))
@@ -54,13 +63,13 @@ class TimeDictionary:
         return joined.withColumns({"instant_ms": F.col("_ms"), "own_zone": F.col("_own")}).drop("_k", "_z", "_raw", "_zone", "_ms", "_own")
 
 
-def normalise_times(rows: DataFrame, text: str, zone: str, dictionary: TimeDictionary | None = None) -> DataFrame:
+def normalise_times(rows: DataFrame, text: str, zone: str, dictionary: TimeDictionary | None = None, source: str = "-") -> DataFrame:
     """`rows` with instant_ms (UTC epoch milliseconds) and own_zone (the text names its zone or is Unix time).
 
     Learns the texts of `rows`, then joins. An empty table gives an empty table with both columns.
     """
     d = dictionary or TimeDictionary(rows.sparkSession)
-    return d.learn(rows, text, zone).join(rows, text, zone)
+    return d.learn(rows, text, zone, source).join(rows, text, zone, source)
 
 
 def asset_times(assets: DataFrame, clocks: DataFrame, dictionary: TimeDictionary | None = None) -> DataFrame:
@@ -71,4 +80,4 @@ def asset_times(assets: DataFrame, clocks: DataFrame, dictionary: TimeDictionary
     """
     zones = clocks.where(F.col("camera_model").isNotNull()).groupBy("camera_model").agg(F.min("time_zone").alias("_clock"))
     rows = assets.join(zones, "camera_model", "left")
-    return normalise_times(rows, "capture_time", "_clock", dictionary).drop("_clock")
+    return normalise_times(rows, "capture_time", "_clock", dictionary, "assets.capture_time").drop("_clock")

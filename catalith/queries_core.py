@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .operators.hierarchy import descendants, hierarchy
 from .operators.references import orphan_references
 from .operators.times import TimeDictionary, asset_times
+from .session import materialise
 from .sources.tables import current, table
 
 
@@ -62,11 +63,13 @@ def p2_increment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _references(spark: SparkSession, d: str) -> DataFrame:
-    assets = current(spark, d, "assets", "id", "library_id", "first_seen_at")
-    libraries = current(spark, d, "libraries", "id", "created_at")
+    n = F.count(F.lit(1))
+    assets = materialise(current(spark, d, "assets", "id", "library_id", "first_seen_at"), "assets", n=n)  # read three times
+    libraries = materialise(current(spark, d, "libraries", "id", "created_at"), "libraries", n=n)
     members = table(spark, d, "collection_assets")
-    a = orphan_references(assets, libraries, "id", "library_id", "first_seen_at", "id", "created_at").withColumn("source_table", F.lit("assets"))
-    b = orphan_references(members, assets, "collection_id", "asset_id", "added_at", "id", "first_seen_at").withColumn("source_table", F.lit("collection_assets"))
+    many = assets.measured["n"] + libraries.measured["n"]
+    a = orphan_references(assets, libraries, "id", "library_id", "first_seen_at", "id", "created_at", many).withColumn("source_table", F.lit("assets"))
+    b = orphan_references(members, assets, "collection_id", "asset_id", "added_at", "id", "first_seen_at", members.count() + assets.measured["n"]).withColumn("source_table", F.lit("collection_assets"))
     return a.unionByName(b)
 
 
@@ -91,6 +94,9 @@ FROM collection_assets c LEFT JOIN {_ASSETS} a ON a.id = c.asset_id WHERE c.asse
 _TREE = """SELECT '{0}' AS tree, id, max(CASE WHEN p IN (SELECT id FROM {1}) THEN p END) AS p FROM (
   SELECT id, {2} AS p, row_number() OVER (PARTITION BY id ORDER BY {3} DESC NULLS LAST, {2} DESC NULLS LAST) AS k FROM {1} WHERE id IS NOT NULL) WHERE k = 1 GROUP BY id"""
 
+_NAMED = """SELECT '{0}' AS tree, id, CASE WHEN p IN (SELECT id FROM {1}) THEN p END AS p, replace(replace(coalesce(name, ''), '\\', '\\\\'), '/', '\\/') AS step FROM (
+  SELECT id, {2} AS p, name, row_number() OVER (PARTITION BY id ORDER BY {3} DESC NULLS LAST, {2} DESC NULLS LAST, name DESC NULLS LAST, display_order DESC NULLS LAST) AS k FROM {1} WHERE id IS NOT NULL) WHERE k = 1"""
+
 ORACLES = {
     "p1_found": f"""WITH RECURSIVE n AS ({_TREE.format("library", "libraries", "parent_library_id", "scan_generation")} UNION ALL {_TREE.format("collection", "collections", "parent_collection_id", "updated_at")}),
 up AS (SELECT tree, id, p AS a FROM n WHERE p IS NOT NULL UNION SELECT up.tree, up.id, n.p FROM up JOIN n ON n.tree = up.tree AND n.id = up.a WHERE n.p IS NOT NULL),
@@ -99,6 +105,12 @@ above AS (SELECT up.tree, up.id, count(*) AS depth, max(CASE WHEN n.p IS NULL TH
 below AS (SELECT tree, a AS id, count(*) FILTER (id <> a) AS c FROM up GROUP BY ALL)
 SELECT n.tree, n.id AS node_id, coalesce(above.root, above.low, n.id) AS root_id, CAST(CASE WHEN above.low IS NOT NULL THEN -1 ELSE coalesce(above.depth, 0) END AS BIGINT) AS node_depth, CAST(coalesce(below.c, 0) AS BIGINT) AS n_below
 FROM n LEFT JOIN above ON above.tree = n.tree AND above.id = n.id LEFT JOIN below ON below.tree = n.tree AND below.id = n.id""",
+    "p1_paths": f"""WITH RECURSIVE n AS ({_NAMED.format("library", "libraries", "parent_library_id", "scan_generation")} UNION ALL {_NAMED.format("collection", "collections", "parent_collection_id", "updated_at")}),
+down AS (SELECT tree, id, '/' || step AS path FROM n WHERE p IS NULL UNION ALL SELECT n.tree, n.id, down.path || '/' || n.step FROM down JOIN n ON n.tree = down.tree AND n.p = down.id),
+up AS (SELECT tree, id, p AS a FROM n WHERE p IS NOT NULL UNION SELECT up.tree, up.id, n.p FROM up JOIN n ON n.tree = up.tree AND n.id = up.a WHERE n.p IS NOT NULL),
+ring AS (SELECT tree, id, min(a) AS low FROM up GROUP BY tree, id HAVING count(*) FILTER (a = id) > 0)
+SELECT n.tree, n.id AS node_id, down.path, ring.id IS NOT NULL AS on_cycle, CASE WHEN n.p = ring.low THEN n.p END AS back_edge_to
+FROM n LEFT JOIN down ON down.tree = n.tree AND down.id = n.id LEFT JOIN ring ON ring.tree = n.tree AND ring.id = n.id""",
     "p1_descendants": f"""WITH RECURSIVE n AS ({_TREE.format("library", "libraries", "parent_library_id", "scan_generation")} UNION ALL {_TREE.format("collection", "collections", "parent_collection_id", "updated_at")}),
 up AS (SELECT tree, id, p AS a FROM n WHERE p IS NOT NULL UNION SELECT up.tree, up.id, n.p FROM up JOIN n ON n.tree = up.tree AND n.id = up.a WHERE n.p IS NOT NULL)
 SELECT tree, a AS ancestor, id AS node FROM up WHERE a <> id""",

@@ -42,10 +42,34 @@ def test_both_ways_agree_with_brute_force(spark):
         for limit in (50_000, 1):
             got = hierarchy(rows, "id", "up", "name", max_component=limit).collect()
             assert {r.node_id: (r.root_id, r.node_depth, r.n_below) for r in got} == expected
+            rings = {}
+            for n, (root, depth, _) in expected.items():
+                if depth < 0:
+                    rings.setdefault(root, []).append(n)
+            # The ring is entered at its smallest node: its child there closes it, whatever the order of the rows.
+            closing = {}
+            for low in rings:
+                at = low
+                while p[at] != low:
+                    at = p[at]
+                closing[at] = low
+            assert {r.node_id: r.back_edge_to for r in got if r.back_edge_to is not None} == closing
             paths = {r.node_id: r.path for r in got}
             assert paths[30] == r"/n\/30" and paths[5] is None and paths[2**53 + 1].endswith(r"/n\/9007199254740993")
 
 
+def test_back_edges_do_not_depend_on_the_order_of_rows():
+    import numpy as np
+
+    from catalith.operators.hierarchy import depth_first
+
+    for order in ((1, 2, 3), (2, 3, 1), (3, 1, 2), (3, 2, 1)):
+        up = {1: 2, 2: 3, 3: 1}
+        ids = np.array(order)
+        got = depth_first(ids, np.array([order.index(up[i]) for i in order]))
+        assert got.set_index("node_id")["back_edge_to"].dropna().to_dict() == {3: 1}
+
+
 def test_descendants_of_trees_rings_and_tails(spark):
     p = some_forest(3) | {70: 71, 71: 72, 72: 70, 65: 66, 66: 65, 73: 70, 74: 73, 75: 71, 67: 66, 68: 67}
     expected = set()

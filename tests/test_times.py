@@ -34,6 +34,9 @@ CASES = [
     ("1344789172214", "Asia/Tokyo", 1344789172214, True),
     ("2013-06-09", "Asia/Tokyo", ms(2013, 6, 8, 15), False),
     (" \t2013-03-01t12:21:37z\n", None, ms(2013, 3, 1, 12, 21, 37), True),
+    (" " * 70 + "2020-01-02 03:04:05" + " " * 5000, None, ms(2020, 1, 2, 3, 4, 5), False),
+    ("2020-01-02 03:04:05." + "1" * 200 + "Z", None, ms(2020, 1, 2, 3, 4, 5, milli=111), True),
+    ("2020-01-02" + " " * 200_000 + "x", None, None, None),
     ("2016-05-24T24:00:00", None, ms(2016, 5, 25), False),
     # An hour that occurs twice is the first; a skipped one keeps the offset before the change.
     ("2014-10-26 02:30:00", "Europe/Berlin", ms(2014, 10, 26, 0, 30), False),
@@ -56,6 +59,14 @@ def test_dictionary_learns_only_what_is_new(spark):
     held = d.read()
     assert held.count() == 3 and held.where("ms is null").count() == 1
     assert d.join(first, "t", "z").where("instant_ms is not null").count() == 2
+    # A retried or concurrent load that appends what is there already changes no answer; sources are kept apart.
+    d.read().unionByName(d.read()).write.mode("overwrite").parquet(d.path + "-twice")
+    twice = TimeDictionary(spark, d.path + "-twice")
+    assert twice.read().count() == 6 and twice.join(first, "t", "z").count() == 4
+    d.learn(first, "t", "z", "scanner")
+    assert d.read().groupBy("source").count().collect() and {r.source for r in d.read().collect()} == {"-", "scanner"}
+    d.drop()
+    assert d.read() is None
 
 
 def test_assets_with_nulls_clashes_and_no_rows(spark):
