@@ -13,11 +13,12 @@ from . import kmeans
 
 HOME_BLOCK, ALL_BLOCK = 8192, 32768  #: home rows and visiting rows of a cell that one task compares
 TASK_BYTES = 16 << 20  #: rows that one task reads
-SLACK = 0.10  #: how near to the border of a distant cell a record must lie to visit it, see :func:`visits`
+MOST_VISITS = 6  #: cells that a record visits beside those of its dense group, unless all borders count
+SLACK = 0.07  #: how near to the border of a distant cell a record must lie to visit it, see :func:`visits`
 PLACED = "cell INT, i INT, j INT, role INT"
 
 
-def visits(x: np.ndarray, centres: np.ndarray, radius: float, slack: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def visits(x: np.ndarray, centres: np.ndarray, radius: float, slack: float | None, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Home cell of each row, and (row, cell) of the other cells that it has to visit so that pairs within `radius` meet.
 
     The border between a home h and a cell c is the plane halfway between their centres, at the distance
@@ -25,45 +26,57 @@ def visits(x: np.ndarray, centres: np.ndarray, radius: float, slack: float | Non
     up to at most their own distance, so one of the rows lies within half of it. With slack=None all rows within half
     the radius of a border visit: no pair can be missed.
 
-    Else that holds where the centres are within the radius of each other, so that a dense group with a cell of its own
-    stays whole; across wider borders only rows within `slack` visit. What is missed then are pairs between two cells
-    that are both centred elsewhere, and whose connecting line runs almost straight across the border: in d dimensions
-    the part of it across the border is about its length / sqrt(d), and one of its ends within half of that.
+    Else that holds between `dense` cells, those whose rows lie within the radius of each other on average, so that a
+    dense group that fills several cells stays whole; across other borders only rows within `slack` visit, and each
+    only the MOST_VISITS nearest. What is missed then are pairs whose connecting line runs almost straight across the
+    border: in d dimensions the part of it across the border is about its length / sqrt(d), and one of its ends within
+    half of that, so that border is among the nearest.
     """
-    half_way = radius / 2 + 1e-4
-    slack = half_way if slack is None else min(slack, half_way)
+    sure = radius / 2 + 1e-4
     home = np.empty(len(x), np.int32)
     half = (centres * centres).sum(1) / 2
     rows, cells = [], []
     block = max(16, min(kmeans.BLOCK, 4_000_000 // max(1, len(centres))))
     for at in range(0, len(x), block):
         score = half - x[at : at + block] @ centres.T  # half the squared distances, but for |x|^2 / 2
+        every = np.arange(len(score))
         own = score.argmin(axis=1)
         home[at : at + block] = own
         used, back = np.unique(own, return_inverse=True)
-        apart = np.sqrt(np.maximum(2 * (half[used][:, None] + half[None] - centres[used] @ centres.T), 0))
-        reach = np.where(apart <= radius + 1e-4, half_way, slack) * apart
-        near = score - score[np.arange(len(own)), own][:, None] <= reach[back]
-        near[np.arange(len(own)), own] = False
+        apart = np.sqrt(np.maximum(2 * (half[used][:, None] + half[None] - centres[used] @ centres.T), 1e-12))
+        border = (score - score[every, own][:, None]) / apart[back]
+        border[every, own] = np.inf
+        if slack is None:
+            near = border <= sure
+        else:
+            near = border <= min(slack, sure)
+            many = np.flatnonzero(near.sum(axis=1) > MOST_VISITS)
+            if len(many):
+                near[many] &= border[many] <= np.partition(border[many], MOST_VISITS - 1, axis=1)[:, MOST_VISITS - 1][:, None]
+            thick = np.flatnonzero(dense[own])
+            if len(thick):
+                near[thick] |= (border[thick] <= sure) & dense
         r, c = np.nonzero(near)
         rows.append(r + at), cells.append(c)
     return home, np.concatenate(rows) if rows else np.zeros(0, np.int64), np.concatenate(cells).astype(np.int32) if cells else np.zeros(0, np.int32)
 
 
-def place(rows: DataFrame, centres: np.ndarray, radius: float, slack: float | None, decode: Callable[[pa.RecordBatch], np.ndarray], columns: list[str]) -> DataFrame:
+def place(rows: DataFrame, centres: np.ndarray, radius: float, slack: float | None, decode: Callable[[pa.RecordBatch], np.ndarray], columns: list[str], of_unit: np.ndarray | None = None) -> DataFrame:
     """(cell, i, j, role, columns): rows (id BIGINT, ...) once for each block of pairs they take part in, partitioned by (cell, i, j).
 
     role is 1 for a row at home, 2 for one that the home rows of the block are compared with, 3 for both. Cells are
     counted first: one with more than HOME_BLOCK home rows or ALL_BLOCK visitors is compared in blocks against
-    blocks, and the partitions are as many as the counted bytes need, so no task grows with the table.
+    blocks, and the partitions are as many as the counted bytes need, so no task grows with the table. of_unit: the columns of unit vectors among the features, all unless given; the
+    mean of unit vectors is the shorter the more they differ, which tells dense cells.
     """
     n = len(centres)
+    dense = 1 - ((centres if of_unit is None else centres[:, of_unit]) ** 2).sum(axis=1) <= radius**2 / 2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         home, every = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for b in batches:
             if b.num_rows:
-                own, _, cells = visits(decode(b), centres, radius, slack)
+                own, _, cells = visits(decode(b), centres, radius, slack, dense)
                 home += np.bincount(own, minlength=n)
                 every += np.bincount(cells, minlength=n)
         held = np.flatnonzero(home + every)
@@ -80,7 +93,7 @@ def place(rows: DataFrame, centres: np.ndarray, radius: float, slack: float | No
             if not b.num_rows:
                 continue
             ids = b["id"].to_numpy()
-            own, guests, cells = visits(decode(b), centres, radius, slack)
+            own, guests, cells = visits(decode(b), centres, radius, slack, dense)
             u = kmeans.unit_random(ids, 3)
             row, cell = np.concatenate([np.arange(len(ids)), guests]), np.concatenate([own, cells])
             at_home = np.arange(len(row)) < len(ids)

@@ -142,11 +142,15 @@ def most_similar(vectors: DataFrame, k: int = 5, least: float = 0.90, slack: flo
     keyed = materialise(directions(vectors.select("id", "vec").where("id is not null and vec is not null")).select("id", "key", "vec"), "directions")
     groups = materialise(keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "groups", n=F.count(F.lit(1)), most=F.max("n"))
     n, several = groups.measured["n"], (groups.measured["most"] or 0) > 1
-    copies = keyed.join(groups.where("n > 1").select("key", "rep"), "key").select("rep", "id") if several else keyed.select(F.col("id").alias("rep"), "id").limit(0)
-    base = materialise(keyed.join(groups.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "vec"), "base") if several else keyed.select("id", "vec")
+    base = keyed.select("id", "vec")
+    if several:
+        copies = materialise(keyed.join(groups.where("n > 1").select("key", "rep"), "key").select("rep", "id"), "copies")
+        base = materialise(keyed.join(groups.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "vec"), "base")
+        discard(keyed)
+    discard(groups)
     index = fit_index(base, n)
     if not len(index.centres):
-        return keyed.select("id", F.col("id").alias("neighbour"), F.lit(0.0).alias("cosine"), F.lit(1).alias("rank")).limit(0)
+        return base.select("id", F.col("id").alias("neighbour"), F.lit(0.0).alias("cosine"), F.lit(1).alias("rank")).limit(0)
     placed = cells.place(base, index.centres, math.sqrt(2 - 2 * least), slack, unit32, ["id", "vec"])
     found = placed.groupBy("cell", "i", "j").applyInPandas(_search(index, k, least), FOUND)
     # A pair may be found in two lists. One shuffle by id serves both the merging and the choice.
