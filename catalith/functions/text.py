@@ -14,6 +14,19 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RESERVED = ["con", "prn", "aux", "nul", *(f"com{i}" for i in range(1, 10)), *(f"lpt{i}" for i in range(1, 10))]
 
 
+#: Words of a search text and what the encoder is asked instead, in the order in which they are replaced.
+QUERY_WORDS = [
+    ("人像", "portrait photo of a person"), ("人物", "photo of a person"), ("风景", "landscape scenery"), ("建筑", "architecture building"), ("动物", "animal"), ("食物", "food"),
+    ("文档", "document page"), ("截图", "screenshot"), ("夜景", "night scene"), ("花", "flower"), ("产品", "product photo"),
+]
+
+
+def query_words(text: Column) -> Column:
+    for word, instead in QUERY_WORDS:
+        text = F.replace(text, F.lit(word), F.lit(instead))
+    return text
+
+
 def ascii_lower(c: Column | str) -> Column:
     """Fold A-Z only, as a NOCASE collation does; É stays É."""
     return F.translate(c, _UPPER, _LOWER)
@@ -70,9 +83,19 @@ def bad_segment(c: Column | str) -> Column:
 
 
 @F.pandas_udf(StringType())
-def comparison_key(paths: pd.Series) -> pd.Series:
-    """NFC, lower case, forward slashes, no slash at the end; normal forms are not among the built-in functions."""
-    return paths.map(lambda p: None if p is None else unicodedata.normalize("NFC", p).lower().replace("\\", "/").rstrip("/"))
+def _normal_form(paths: pd.Series) -> pd.Series:
+    out = paths.copy()
+    given = paths.notna()
+    out[given] = [unicodedata.normalize("NFC", p).lower() for p in paths[given]]
+    return out
+
+
+def comparison_key(path: Column | str) -> Column:
+    """NFC, lower case, forward slashes, no slash at the end. Normal forms are not among the built-in functions: only texts beyond ASCII go to Python."""
+    c = F.col(path) if isinstance(path, str) else path
+    beyond = c.rlike(r"[^\x00-\x7f]")
+    folded = F.coalesce(_normal_form(F.when(beyond, c)), F.lower(c))
+    return F.regexp_replace(F.replace(folded, F.lit("\\"), F.lit("/")), "/+$", "")
 
 
 def zero_padded(n: Column, pattern: str) -> Column:

@@ -160,6 +160,40 @@ def descendants(rows: DataFrame, node: str, parent: str, max_component: int = 50
     return out
 
 
+def _summed(names: list[str]):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = _intervals(pdf)
+        order = np.argsort(at["place"].to_numpy())
+        # The interval of a ring holds the node itself, others begin behind it.
+        first = np.minimum(at["place"].to_numpy(), at["first"].to_numpy())
+        out = {"node_id": at["node"].to_numpy()}
+        for n in names:
+            upto = np.concatenate([[0], np.cumsum(pdf[n].to_numpy()[order])])
+            out[n] = upto[at["last"].to_numpy() + 1] - upto[first]
+        return pd.DataFrame(out)
+
+    return run
+
+
+def subtree_sums(rows: DataFrame, node: str, parent: str, names: tuple[str, ...], max_component: int = 50_000) -> DataFrame:
+    """(node_id, names): BIGINT columns of `rows` summed over each node and all below it; on a cycle, over all that run into it.
+
+    rows and components as for :func:`hierarchy`; a repeated node adds up. The sums are differences of running sums in
+    preorder; components above `max_component` nodes take :func:`closure`.
+    """
+    placed, small, large = _placed(rows, node, parent, None, max_component)
+    own = rows.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("node_id")).agg(*[F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in names])
+    out = placed.where("component is null").select("node_id").join(own, "node_id")
+    schema = "node_id BIGINT, " + ", ".join(f"{n} BIGINT" for n in names)
+    if small is not None:
+        run = _summed(list(names))
+        out = out.unionByName(small.join(own, "node_id").groupBy("bin").applyInPandas(lambda pdf: run(pdf), schema))
+    if large is not None:
+        pairs = closure(large, "node_id", "parent").join(own.withColumnRenamed("node_id", "node"), "node")
+        out = out.unionByName(pairs.groupBy(F.col("ancestor").alias("node_id")).agg(*[F.sum(n).alias(n) for n in names]))
+    return out
+
+
 def _placed(rows: DataFrame, node: str, parent: str, name: str | None, max_component: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """Nodes with their component (null where alone), those of small ones with the task they go to, and those of large ones."""
     names = [escaped(F.col(name)).alias("name")] if name else []

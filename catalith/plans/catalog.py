@@ -24,6 +24,11 @@ CANONICAL = {
 #: The topic that each subject stands for.
 SUBJECT_TOPICS = {"single_person": "photo_portrait", "multiple_people": "photo_portrait", "animal": "photo_wildlife", "vehicle": "photo_vehicle", "food": "photo_food", "plant": "photo_macro"}
 
+#: The score each subject has to reach.
+SUBJECT_THRESHOLDS = {"single_person": 0.45, "multiple_people": 0.45, "animal": 0.40, "vehicle": 0.40, "food": 0.40, "plant": 0.40}
+#: All labels with their group and threshold; scenes as above.
+LABELS = [*((t, "scene", x) for t, x in zip(TOPICS, THRESHOLDS)), ("indoor", "context", 0.55), ("outdoor", "context", 0.55), *((s, "subject", SUBJECT_THRESHOLDS[s]) for s in SUBJECT_TOPICS)]
+
 _LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {1} DESC NULLS LAST) AS k FROM {0} WHERE id IS NOT NULL) x WHERE k = 1"
 BASE = {
     "now_assets": _LATEST.format("assets", "last_seen_scan"),

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import classify
-from .operators.hierarchy import closure, reach
+from .operators.hierarchy import closure, reach, subtree_sums
+from .operators.ranking import nearest_rank, numbered, running
 from .plans import query as Q
-from .plans.catalog import CANONICAL, TOPICS, Catalog, with_tables
+from .plans.catalog import CANONICAL, LABELS, Catalog, with_tables
 from .plans.query import AssetFilter, AssetQuery
 from .registry import Registry
 
@@ -75,13 +76,18 @@ def a06(c: Catalog) -> DataFrame:
     return failed.select("id", F.sha2(text, 256).alias("fallback"))
 
 
-@query("a11_embedding_scan", with_tables("SELECT DISTINCT s.asset_id, len(s.embedding) AS dimensions, s.embedding IS NOT NULL AND len(s.embedding) = 64 AS decodable FROM semantic_outputs s JOIN now_assets a ON a.id = s.asset_id AND a.fingerprint = s.source_fingerprint WHERE s.model_version = '2.1' ORDER BY s.asset_id, dimensions NULLS LAST LIMIT 10001", "now_assets"))
+@query("a11_embedding_scan", with_tables("SELECT DISTINCT s.asset_id, len(s.embedding) AS dimensions, s.embedding IS NOT NULL AND len(s.embedding) = 64 AS decodable FROM semantic_outputs s JOIN now_assets a ON a.id = s.asset_id AND a.fingerprint = s.source_fingerprint WHERE s.model_version = '2.1'", "now_assets"))
 def a11(c: Catalog) -> DataFrame:
-    """Current embeddings in id order up to the cap of the search; the limit comes before undecodable rows are rejected."""
+    """Current embeddings, decodable or not."""
+    return embedding_scan(c)
+
+
+def embedding_scan(c: Catalog, most: int | None = None) -> DataFrame:
+    """Current embeddings; with `most` the first so many by id, taken before undecodable rows are rejected, as an interactive search does."""
     now = c.now_assets.select(F.col("id").alias("asset_id"), F.col("fingerprint").alias("source_fingerprint"))
     s = c.raw("semantic_outputs").where("model_version = '2.1'").join(now, ["asset_id", "source_fingerprint"])
     s = s.select("asset_id", F.when(F.col("embedding").isNotNull(), F.size("embedding").cast("bigint")).alias("dimensions"), F.coalesce(F.size("embedding") == 64, F.lit(False)).alias("decodable")).distinct()
-    return s.orderBy("asset_id", F.col("dimensions").asc_nulls_last()).limit(10_001)
+    return s if most is None else s.orderBy("asset_id", F.col("dimensions").asc_nulls_last()).limit(most)
 
 
 @query("a13_csv_lines", """SELECT id, concat_ws(',', CAST(id AS VARCHAR), CASE WHEN regexp_matches(coalesce(name, ''), '[,"\\n\\r]') THEN '"' || replace(coalesce(name, ''), '"', '""') || '"' ELSE coalesce(name, '') END, CASE WHEN regexp_matches(coalesce(source_path, ''), '[,"\\n\\r]') THEN '"' || replace(source_path, '"', '""') || '"' ELSE coalesce(source_path, '') END) AS line FROM (SELECT DISTINCT id, name, source_path FROM libraries)""")
@@ -330,16 +336,6 @@ def c14(c: Catalog) -> DataFrame:
     return numbered(rows, [F.col("kind"), F.col("late"), F.col("display_order"), F.col("name"), F.col("id")], "ordinal").select("kind", "id", "parent_id", "ordinal")
 
 
-def numbered(rows: DataFrame, order: list, as_: str) -> DataFrame:
-    """Row numbers from 1 in a global order: sorted by range, counted per partition, offset by the sizes of the partitions before."""
-    from .session import materialise
-
-    sorted_ = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)), "numbered")
-    sizes = sorted_.groupBy("_part").agg(count_rows().alias("_n"))  # one row per partition
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    return sorted_.join(F.broadcast(offsets), "_part").withColumn(as_, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
-
-
 # ---- D: joins that are not among the filters above
 
 
@@ -375,11 +371,12 @@ def d17(c: Catalog) -> DataFrame:
 
 @query("e01_library_summary", with_tables("", "now_libraries", "now_assets").rstrip() + ", e AS (SELECT id, parent_library_id AS p FROM now_libraries WHERE parent_relation = 'source' AND parent_library_id IN (SELECT id FROM now_libraries)), up AS (SELECT id AS node, id AS ancestor FROM now_libraries UNION SELECT up.node, e.p FROM up JOIN e ON e.id = up.ancestor) SELECT up.ancestor AS library_id, count(a.id) AS assets, coalesce(sum(CASE WHEN file_status = 'present' THEN 1 ELSE 0 END), 0)::BIGINT AS present, coalesce(sum(CASE WHEN file_status = 'missing' THEN 1 ELSE 0 END), 0)::BIGINT AS missing, coalesce(sum(CASE WHEN semantic_status <> 'completed' THEN 1 ELSE 0 END), 0)::BIGINT AS pending FROM up LEFT JOIN now_assets a ON a.library_id = up.node GROUP BY up.ancestor")
 def e01(c: Catalog) -> DataFrame:
-    """Counts over each library and all below it: assets are counted per library before the closure multiplies them."""
+    """Counts over each library and all below it: assets are counted per library, and the counts summed up the trees."""
     tree = c.now_libraries.select("id", F.when(F.col("parent_relation") == "source", F.col("parent_library_id")).alias("parent"))
-    per = c.now_assets.groupBy("library_id").agg(count_rows().alias("assets"), F.count_if(F.col("file_status") == "present").alias("present"), F.count_if(F.col("file_status") == "missing").alias("missing"), F.count_if(F.col("semantic_status") != "completed").alias("pending"))
-    sums = [F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("assets", "present", "missing", "pending")]
-    return closure(tree, "id", "parent").join(per, F.col("node") == F.col("library_id"), "left").groupBy(F.col("ancestor").alias("library_id")).agg(*sums)
+    names = ("assets", "present", "missing", "pending")
+    per = c.now_assets.groupBy(F.col("library_id").alias("id")).agg(count_rows().alias("assets"), F.count_if(F.col("file_status") == "present").alias("present"), F.count_if(F.col("file_status") == "missing").alias("missing"), F.count_if(F.col("semantic_status") != "completed").alias("pending"))
+    rows = tree.join(per, "id", "left").select("id", "parent", *[F.coalesce(x, F.lit(0).cast("bigint")).alias(x) for x in names])
+    return subtree_sums(rows, "id", "parent", names).withColumnRenamed("node_id", "library_id")
 
 
 @query("e02_count", _res("rating >= 3", "count(*) AS total"))
@@ -406,11 +403,16 @@ def e04(c: Catalog) -> DataFrame:
     return _duplicates(c)
 
 
-@query("e05_duplicate_members", with_tables(f"SELECT a.fingerprint, a.id, row_number() OVER (PARTITION BY a.fingerprint ORDER BY is_favorite DESC NULLS LAST, coalesce(rating, 0) DESC, capture_time ASC NULLS FIRST, a.id) AS place FROM now_assets a JOIN ({_DUP}) d ON d.fingerprint = a.fingerprint WHERE a.file_status = 'present'", "now_assets"))
+_GROUPS = "SELECT fingerprint FROM now_assets WHERE fingerprint <> '' AND file_status = 'present' GROUP BY fingerprint HAVING count(*) > 1"
+
+
+@query("e05_duplicate_members", with_tables(f"SELECT a.fingerprint, a.id, row_number() OVER (PARTITION BY a.fingerprint ORDER BY is_favorite DESC NULLS LAST, coalesce(rating, 0) DESC, capture_time ASC NULLS FIRST, a.id) AS place FROM now_assets a JOIN ({_GROUPS}) d ON d.fingerprint = a.fingerprint WHERE a.file_status = 'present'", "now_assets"))
 def e05(c: Catalog) -> DataFrame:
-    w = Window.partitionBy("fingerprint").orderBy(F.desc_nulls_last("is_favorite"), F.coalesce("rating", F.lit(0)).desc(), F.asc_nulls_first("capture_time"), "id")
-    rows = c.now_assets.where("file_status = 'present'").join(_duplicates(c).select("fingerprint"), "fingerprint", "left_semi")
-    return rows.select("fingerprint", "id", F.row_number().over(w).cast("bigint").alias("place"))
+    """The members of every group of duplicates, the one to keep first."""
+    present = c.now_assets.where("fingerprint <> '' and file_status = 'present'").select("fingerprint", "id", "is_favorite", "rating", "capture_time")
+    several = present.groupBy("fingerprint").agg(count_rows().alias("n")).where("n > 1").select("fingerprint")
+    order = [F.desc_nulls_last("is_favorite"), F.coalesce("rating", F.lit(0)).desc(), F.asc_nulls_first("capture_time"), F.col("id")]
+    return running(present.join(several, "fingerprint", "left_semi"), ["fingerprint"], order, place=F.lit(1)).select("fingerprint", "id", "place")
 
 
 @query("e06_folder_rollup", with_tables("SELECT library_id, folder, count(*) AS assets FROM (SELECT library_id, unnest(list_transform(range(1, len(string_split(relative_path, '/'))), lambda i: list_aggregate(string_split(relative_path, '/')[1:i], 'string_agg', '/'))) AS folder FROM now_assets WHERE file_status = 'present') GROUP BY ALL", "now_assets"))
@@ -442,15 +444,12 @@ def e09(c: Catalog) -> DataFrame:
 def e15(c: Catalog) -> DataFrame:
     """Mean, deviation and the nearest-rank percentile round((n - 1) q) per camera make.
 
-    The percentile is found by counting distinct values, a cumulative sum over them and the first value that reaches
-    the rank; no list of values is collected.
+    The percentile is found by counting distinct values, running sums over ranges of them and the first value that
+    reaches the rank; no list of values is collected.
     """
     x = c.tone.join(c.now_assets.select(F.col("id").alias("asset_id"), "camera_make"), "asset_id")
-    stats = x.groupBy("camera_make").agg(count_rows().alias("n"), F.round(F.avg("brightness"), 6).alias("mean"), F.round(F.stddev_pop("brightness"), 6).alias("deviation"), F.round(F.avg((F.col("brightness") <= 0.15).cast("int")), 6).alias("dark"), F.round(F.avg((F.col("brightness") >= 0.9).cast("int")), 6).alias("bright"))
-    values = x.groupBy("camera_make", "brightness").agg(count_rows().alias("k"))
-    upto = values.withColumn("upto", F.sum("k").over(Window.partitionBy("camera_make").orderBy("brightness")))
-    ranked = upto.join(stats.select(F.col("camera_make").alias("m"), F.floor((F.col("n") - 1) * 0.9 + 0.5).alias("rank")), F.col("camera_make").eqNullSafe(F.col("m"))).where("upto > rank")
-    p90 = ranked.groupBy("m").agg(F.min("brightness").alias("p90"))
+    stats = x.groupBy("camera_make").agg(F.round(F.avg("brightness"), 6).alias("mean"), F.round(F.stddev_pop("brightness"), 6).alias("deviation"), F.round(F.avg((F.col("brightness") <= 0.15).cast("int")), 6).alias("dark"), F.round(F.avg((F.col("brightness") >= 0.9).cast("int")), 6).alias("bright"))
+    p90 = nearest_rank(x, "camera_make", "brightness", {"p90": F.floor((F.col("n") - 1) * 0.9 + 0.5)}).withColumnRenamed("camera_make", "m")
     return stats.join(p90, F.col("camera_make").eqNullSafe(F.col("m"))).drop("m")
 
 
@@ -467,11 +466,9 @@ def e16(c: Catalog) -> DataFrame:
 def e24(c: Catalog) -> DataFrame:
     """Mean and the percentiles of rank ceil((n - 1) q), by counted distinct values as in e15."""
     x = c.raw("events").where("value is not null")
-    stats = x.groupBy("event_type").agg(count_rows().alias("n"), F.round(F.avg("value"), 6).alias("mean"))
-    upto = x.groupBy("event_type", "value").agg(count_rows().alias("k")).withColumn("upto", F.sum("k").over(Window.partitionBy("event_type").orderBy("value")))
-    j = upto.join(stats, "event_type")
-    at = lambda q: F.min(F.when(F.col("upto") > F.ceil((F.col("n") - 1) * q), F.col("value")))
-    return j.groupBy("event_type").agg(F.max("n").alias("n"), F.max("mean").alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"))
+    mean = x.groupBy(F.col("event_type").alias("t")).agg(F.round(F.avg("value"), 6).alias("mean"))
+    ranks = nearest_rank(x, "event_type", "value", {"p50": F.ceil((F.col("n") - 1) * 0.5), "p95": F.ceil((F.col("n") - 1) * 0.95)})
+    return ranks.join(mean, F.col("event_type").eqNullSafe(F.col("t"))).drop("t")
 
 
 @query("e27_group_order", with_tables(f"SELECT coalesce(color_label, 'unset') AS grp, count(*) AS assets, min(k) AS first_place FROM (SELECT *, row_number() OVER (ORDER BY {_LOWER.format('file_name')} NULLS LAST, id) AS k FROM (SELECT id, color_label, file_name FROM now_assets)) GROUP BY ALL", "now_assets"))
@@ -557,9 +554,17 @@ def h06(c: Catalog) -> DataFrame:
     return classify.resolved(c).select("asset_id", F.when(F.size("effective_tags") > 0, F.array_join(F.transform("effective_tags", lambda t: F.lower(t)), "|")).alias("tags"), "tags_source")
 
 
-@query("h16_label_catalog", "SELECT unnest(['" + "', '".join(TOPICS) + "']) AS label, unnest(generate_series(0, 11))::INT AS place")
+@query("h16_label_catalog", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{g}', {t}::DOUBLE, {str(g == 'scene').lower()}, {i})" for i, (n, g, t) in enumerate(LABELS)) + ") AS x(label, category_group, threshold, is_primary, place)")
 def h16(c: Catalog) -> DataFrame:
-    return c.spark.createDataFrame([(t, i) for i, t in enumerate(TOPICS)], "label STRING, place INT")
+    """The labels with their groups and thresholds: scenes, surroundings, subjects."""
+    return c.spark.createDataFrame([(n, g, t, g == "scene", i) for i, (n, g, t) in enumerate(LABELS)], "label STRING, category_group STRING, threshold DOUBLE, is_primary BOOLEAN, place INT")
+
+
+@query("h15_label_groups", with_tables(f"SELECT label, {_CANON.format('label')} AS canonical, CASE {_CANON.format('label')} " + " ".join(f"WHEN '{n}' THEN '{g}'" for n, g, _ in LABELS) + " END AS category_group, count(*) AS n FROM labels GROUP BY ALL", "labels"))
+def h15(c: Catalog) -> DataFrame:
+    """Stored labels, older names too, with today's name and group."""
+    groups = F.create_map(*[F.lit(v) for n, g, _ in LABELS for v in (n, g)])
+    return c.labels.groupBy("label").agg(count_rows().alias("n")).withColumn("canonical", classify.canonical(F.col("label"))).select("label", "canonical", groups[F.col("canonical")].alias("category_group"), "n")
 
 
 # ---- I: set operations

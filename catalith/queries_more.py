@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import colour as K
 from .functions import text as T
 from .functions import vector as V
-from .operators import classify, evaluate, organize
+from .operators import evaluate
 from .operators.components import connected_components
+from .operators.ranking import running
 from .plans.catalog import CANONICAL, SUBJECT_TOPICS, THRESHOLDS, TOPICS, Catalog, with_tables
 from .registry import Registry
 
@@ -23,8 +22,6 @@ def count_rows() -> Column:
     return F.count(F.lit(1))
 
 
-_CANON = "CASE {0} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in CANONICAL.items()) + " ELSE {0} END"
-
 # ---- J: state. Old and new generation of an asset are its current row and the row before.
 
 _GENERATIONS = "SELECT *, dense_rank() OVER (PARTITION BY id ORDER BY last_seen_scan DESC) AS g FROM (SELECT DISTINCT id, last_seen_scan, fingerprint, file_size, rating, semantic_status, classification_revision FROM assets WHERE id IS NOT NULL)"
@@ -108,12 +105,15 @@ def k10(c: Catalog) -> DataFrame:
     return c.now_assets.select("id", F.substring(F.lower(F.trim("fingerprint")), 1, 8).alias("short_hash"))
 
 
-@query("k11_query_words", "SELECT replace(replace(replace(q, '夜景', ' night scene '), '街拍', ' street '), '人像', ' portrait ') AS normalised, count(*) AS n FROM (SELECT name AS q FROM libraries) GROUP BY ALL")
+_WORDS = "q"
+for _from, _to in T.QUERY_WORDS:
+    _WORDS = f"replace({_WORDS}, '{_from}', '{_to}')"
+
+
+@query("k11_query_words", f"SELECT doc_id, {_WORDS} AS normalised FROM (SELECT doc_id, text AS q FROM documents WHERE text IS NOT NULL)")
 def k11(c: Catalog) -> DataFrame:
-    """Ordered replacement of words in a search text."""
-    words = [("夜景", " night scene "), ("街拍", " street "), ("人像", " portrait ")]
-    q = reduce(lambda x, w: F.replace(x, F.lit(w[0]), F.lit(w[1])), words, F.col("name"))
-    return c.raw("libraries").groupBy(q.alias("normalised")).agg(count_rows().alias("n"))
+    """Ordered replacement of words in search texts, here in all documents."""
+    return c.raw("documents").where("text is not null").select("doc_id", T.query_words(F.col("text")).alias("normalised"))
 
 
 # ---- L: times
@@ -201,9 +201,15 @@ def _near(query_id: int, least: float, k: int) -> str:
     return f"SELECT vec_id, similarity FROM (SELECT a.vec_id, round({dot.format('a', 'q')} / sqrt({dot.format('a', 'a')} * {dot.format('q', 'q')}), 6) AS similarity FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = {query_id}) q WHERE a.vec_id <> {query_id}) WHERE similarity >= {least} ORDER BY similarity DESC, vec_id LIMIT {k}"
 
 
-def _similar(c: Catalog, query_id: int, least: float, k: int) -> DataFrame:
+def _similar(c: Catalog, query_id: int, least: float = 0.7, k: int = 24, lowest: float = 0.0) -> DataFrame:
+    """Records most similar to one, itself left out; ValueError outside lowest..1 or for no result wanted, LookupError without its vector."""
+    if not (lowest <= least <= 1.0 and k >= 1):
+        raise ValueError("similarity or number of results out of range")
     e = c.raw("embeddings")
-    q = e.where(F.col("vec_id") == query_id).select(F.col("embedding").alias("q"))
+    found = e.where((F.col("vec_id") == query_id) & F.col("embedding").isNotNull()).select(F.col("embedding").alias("q")).limit(1).collect()
+    if not found:
+        raise LookupError(f"no embedding for {query_id}")
+    q = c.spark.createDataFrame(found, "q ARRAY<FLOAT>")  # one row
     s = e.where(F.col("vec_id") != query_id).crossJoin(F.broadcast(q)).select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
     return s.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "vec_id").limit(k)
 
@@ -211,7 +217,7 @@ def _similar(c: Catalog, query_id: int, least: float, k: int) -> DataFrame:
 @query("o01_text_search", _near(3, 0.05, 80))
 def o01(c: Catalog) -> DataFrame:
     """Search by a query vector (here that of record 3): one row is broadcast, the top k is kept per task."""
-    return _similar(c, 3, 0.05, 80)
+    return _similar(c, 3, 0.05, 80, lowest=-1.0)
 
 
 @query("o02_similar_to", _near(11, 0.7, 24).replace(">= 0.7", ">= 0.1"))
@@ -252,7 +258,7 @@ def _candidates(c: Catalog) -> DataFrame:
     e = c.raw("embeddings").select("vec_id", "embedding", F.explode(V.strongest(F.col("embedding"))).alias("d"))
     value = F.get("embedding", F.col("d"))
     x = e.select("vec_id", F.concat(F.col("d").cast("string"), F.when(value < 0, "-").otherwise("+")).alias("bucket"), F.abs(value).alias("m"))
-    x = x.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("m"), "vec_id")))
+    x = running(x, ["bucket"], [F.desc("m"), F.col("vec_id")], place=F.lit(1))  # at most twice as many buckets as dimensions: ranked over all tasks
     block = F.floor(F.col("place") / 96)
     left = x.select(F.col("vec_id").alias("l"), "bucket", F.col("place").alias("lp"), F.explode(F.array(block, block + 1)).alias("block"))
     right = x.select(F.col("vec_id").alias("r"), "bucket", F.col("place").alias("rp"), block.alias("block"))
@@ -295,15 +301,6 @@ def f06(c: Catalog) -> DataFrame:
     return _scores(c).select("vec_id", F.array_join(F.transform(F.slice(ranked, 1, 8), lambda x: F.element_at(names, x["i"] + 1)), ",").alias("topics"))
 
 
-@query("e22_report", f"SELECT label, count(*) FILTER (e) AS expected, count(*) FILTER (p) AS predicted, count(*) FILTER (e AND p) AS hits, count(*) FILTER (e AND p) / nullif(count(*) FILTER (p), 0) AS precision, count(*) FILTER (e AND p) / nullif(count(*) FILTER (e), 0) AS recall FROM (SELECT unnest(list_distinct(ex || pr)) AS label, ex, pr, list_contains(ex, label) AS e, list_contains(pr, label) AS p FROM (SELECT [{_NAMES}[label % 12 + 1]] AS ex, [{_NAMES}[r[1].i + 1], {_NAMES}[r[2].i + 1]] AS pr FROM {_BEST})) GROUP BY label".replace("list_contains(ex, label) AS e, list_contains(pr, label) AS p FROM (SELECT", "NULL AS z FROM (SELECT").replace("SELECT label, count", "SELECT label, count", 1).replace("FROM (SELECT unnest", "FROM (SELECT *, list_contains(ex, label) AS e, list_contains(pr, label) AS p FROM (SELECT unnest", 1).replace(") GROUP BY label", ")) GROUP BY label"))
-def e22(c: Catalog) -> DataFrame:
-    names = F.array(*map(F.lit, TOPICS))
-    ranked = F.array_sort(F.transform("scores", lambda s, i: F.struct((-s).alias("s"), i.alias("i"))))
-    name = lambda x: F.element_at(names, x + 1)
-    rows = _scores(c).select(F.array(name(F.col("label") % 12)).alias("expected"), F.transform(F.slice(ranked, 1, 2), lambda x: name(x["i"])).alias("predicted"))
-    return evaluate.classification_report(rows)
-
-
 _JUDGED = f"(SELECT {_NAMES}[r[1].i + 1] AS label, -r[1].s AS score, r[1].i % 3 = label % 3 AS correct FROM {_BEST})"
 
 
@@ -318,67 +315,22 @@ def p_thresholds(c: Catalog) -> DataFrame:
     return evaluate.recommended_thresholds(_judged(c), target_precision=0.35)
 
 
-@query("p_margins", f"SELECT margin, count(*) FILTER (lead >= margin - 1e-12) AS accepted, round(count(*) FILTER (lead >= margin - 1e-12) / count(*), 6) AS coverage FROM (SELECT r[2].s - r[1].s AS lead FROM {_BEST}), (SELECT unnest({evaluate.MARGINS}::DOUBLE[]) AS margin) GROUP BY margin")
-def p_margins(c: Catalog) -> DataFrame:
-    """Every margin of the sweep in one pass: conditional counts, no join with the margins."""
-    top = F.sort_array("scores", asc=False)
-    lead = _scores(c).select((top[0] - top[1]).alias("lead"))
-    counts = lead.agg(count_rows().alias("all"), *[F.count_if(F.col("lead") >= m - 1e-12).alias(f"m{i}") for i, m in enumerate(evaluate.MARGINS)])
-    rows = counts.select("all", F.explode(F.array(*[F.struct(F.lit(float(m)).alias("margin"), F.col(f"m{i}").alias("accepted")) for i, m in enumerate(evaluate.MARGINS)])).alias("x"))
-    return rows.select("x.margin", "x.accepted", F.round(F.col("x.accepted") / F.col("all"), 6).alias("coverage"))
-
-
-_SUBJECT = "CASE label " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SUBJECT_TOPICS.items()) + " END"
-
-
-@query("p_fusion", with_tables(f"SELECT asset_id, coalesce(arg_max({_SUBJECT}, similarity) FILTER (layer = 'subject' AND {_SUBJECT} IS NOT NULL), max(label) FILTER (is_primary)) AS topic, max(similarity) AS evidence FROM (SELECT asset_id, layer, {_CANON.format('label')} AS label, similarity, is_primary FROM labels) GROUP BY asset_id", "labels"))
-def p_fusion(c: Catalog) -> DataFrame:
-    """The best mapped subject replaces the primary; the evidence is the greatest similarity."""
-    topic = F.create_map(*[F.lit(v) for kv in SUBJECT_TOPICS.items() for v in kv])
-    x = c.labels.withColumn("label", classify.canonical(F.col("label"))).withColumn("t", F.when(F.col("layer") == "subject", topic[F.col("label")]))
-    best = F.max(F.when(F.col("t").isNotNull(), F.struct("similarity", "t")))["t"]
-    return x.groupBy("asset_id").agg(F.coalesce(best, F.max(F.when(F.col("is_primary"), F.col("label")))).alias("topic"), F.max("similarity").alias("evidence"))
-
-
-# ---- Q: planning
-
-_PLAN = "SELECT id, coalesce(camera_make, 'unknown') || '/' || first_seen_at[:4] || '/' || replace(first_seen_at[:10], '-', '') || '_' || coalesce(camera_model, 'unknown') || CASE WHEN rating = 5 THEN '_0001' ELSE '' END || '.' || lower(extension) AS target, file_size, fingerprint FROM now_assets"
-
-
-def _plan(c: Catalog) -> DataFrame:
-    """Levels make/year and a template over the date and the camera; five-star files already carry a suffix."""
-    a = c.now_assets
-    ts = F.try_to_timestamp("first_seen_at", F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSX"))
-    name = organize.render("{capture_time:yyyyMMdd}_{camera_model}", {"capture_time": ts, "camera_model": F.col("camera_model")})
-    levels = F.concat_ws("/", F.coalesce("camera_make", F.lit("unknown")), F.date_format(ts, "yyyy"))
-    target = F.concat(levels, F.lit("/"), name, F.when(F.col("rating") == 5, "_0001").otherwise(""), F.lit("."), F.lower("extension"))
-    return a.select("id", target.alias("target"), "file_size", "fingerprint")
-
-
-@query("q02_render", with_tables(_PLAN, "now_assets"))
-def q02(c: Catalog) -> DataFrame:
-    return _plan(c)
-
-
-_LOW = "translate(target, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
+# ---- Q: digests of snapshots
 
-@query("q06_conflicts", with_tables("", "now_assets").rstrip() + f", p AS ({_PLAN}), x AS (SELECT *, {_LOW} AS lt, regexp_extract(target, '^(.*?)(\\.[^./]*)?$', 1) AS stem, regexp_extract(target, '(\\.[^./]*)$', 1) AS ext, row_number() OVER (PARTITION BY {_LOW} ORDER BY id) - 1 AS place FROM p), tk AS (SELECT lower(regexp_extract(stem, '^(.*)_[0-9]{{4}}$', 1)) AS s, list(DISTINCT regexp_extract(stem, '_([0-9]{{4}})$', 1)::INT) AS taken FROM x WHERE regexp_matches(stem, '_[0-9]{{4}}$') GROUP BY lower(regexp_extract(stem, '^(.*)_[0-9]{{4}}$', 1)), lower(ext)), tk2 AS (SELECT DISTINCT lower(regexp_extract(stem, '^(.*)_[0-9]{{4}}$', 1)) AS s, lower(ext) AS e FROM x WHERE regexp_matches(stem, '_[0-9]{{4}}$')) SELECT id, target, CASE WHEN place = 0 THEN target ELSE stem || '_' || lpad(CAST(list_filter(range(1, place + 2 + len(coalesce(t.taken, []))), lambda n: NOT list_contains(coalesce(t.taken, []), n))[place] AS VARCHAR), 4, '0') || ext END AS resolved FROM x LEFT JOIN (SELECT lower(regexp_extract(stem, '^(.*)_[0-9]{{4}}$', 1)) AS s, lower(ext) AS e, list(DISTINCT regexp_extract(stem, '_([0-9]{{4}})$', 1)::INT) AS taken FROM x WHERE regexp_matches(stem, '_[0-9]{{4}}$') GROUP BY ALL) t ON t.s = lower(x.stem) AND t.e = lower(x.ext)")
-def q06(c: Catalog) -> DataFrame:
-    return organize.resolve_conflicts(_plan(c), "target", "id").select("id", "target", "resolved")
 
+CHUNK = 10_000  #: items that one digest is taken over; the digests of the chunks are digested in turn
 
-@query("e14_target_tree", with_tables("", "now_assets").rstrip() + f", p AS ({_PLAN}), d AS (SELECT file_size, string_split(target, '/') AS s FROM p) SELECT directory, CAST(CASE WHEN directory = '' THEN 0 ELSE len(string_split(directory, '/')) END AS INTEGER) AS depth, count(*) AS files, CAST(sum(file_size) AS BIGINT) AS bytes FROM (SELECT file_size, unnest(['', s[1], s[1] || '/' || s[2]]) AS directory FROM d) GROUP BY ALL")
-def e14(c: Catalog) -> DataFrame:
-    return organize.target_tree(_plan(c), "target", "file_size")
+_ITEMS = f"SELECT library_id, k // {CHUNK} AS chunk, sha256(string_agg(id || ':' || coalesce(fingerprint, '') || ';', '' ORDER BY id)) AS part FROM (SELECT *, row_number() OVER (PARTITION BY library_id ORDER BY id) - 1 AS k FROM now_assets) GROUP BY ALL"
 
 
-@query("q08_snapshot_digest", with_tables("SELECT library_id, sha256(string_agg(id || ':' || coalesce(fingerprint, '') || ';', '' ORDER BY id)) AS digest FROM now_assets GROUP BY ALL", "now_assets"))
+@query("q08_snapshot_digest", with_tables(f"SELECT library_id, sha256(string_agg(part, '' ORDER BY chunk)) AS digest FROM ({_ITEMS}) GROUP BY ALL", "now_assets"))
 def q08(c: Catalog) -> DataFrame:
-    """Digest of the ordered id:fingerprint; list of each library."""
+    """Digest of the ordered id:fingerprint; list of each library, by chunks, so that no library is one text."""
+    rows = running(c.now_assets.select("library_id", "id", "fingerprint"), ["library_id"], [F.col("id")], place=F.lit(1))
     item = F.struct("id", F.concat(F.col("id").cast("string"), F.lit(":"), F.coalesce("fingerprint", F.lit("")), F.lit(";")).alias("t"))
-    rows = c.now_assets.groupBy("library_id").agg(F.array_sort(F.collect_list(item)).alias("x"))
-    return rows.select("library_id", F.sha2(F.array_join(F.transform("x", lambda i: i["t"]), ""), 256).alias("digest"))
+    digest = lambda rows, of: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda i: i[of]), ""), 256)
+    parts = rows.groupBy("library_id", F.floor((F.col("place") - 1) / CHUNK).alias("chunk")).agg(digest(item, "t").alias("part"))
+    return parts.groupBy("library_id").agg(digest(F.struct("chunk", "part"), "part").alias("digest"))
 
 
 # ---- S: streams

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import vector as V
-from .operators import classify, organize, state
+from .operators import classify, state
+from .operators.ranking import numbered, running
 from .plans.catalog import TOPICS, Catalog, with_tables
 from .registry import Registry
 
@@ -83,12 +84,6 @@ def e19(c: Catalog) -> DataFrame:
     return topics.join(scores, "i", "left").select("topic", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("score"))
 
 
-@query("e20_leaf_sums", "SELECT vec_id, label % 4 AS topic, round(list_sum(list_transform(embedding[label + 1:label + 8], lambda x: abs(x::DOUBLE))), 6) AS mass FROM embeddings")
-def e20(c: Catalog) -> DataFrame:
-    part = F.slice("embedding", F.col("label") + 1, F.lit(8))
-    return c.raw("embeddings").select("vec_id", (F.col("label") % 4).alias("topic"), F.round(F.aggregate(part, F.lit(0.0), lambda s, x: s + F.abs(x.cast("double"))), 6).alias("mass"))
-
-
 @query("e21_second_best", "SELECT vec_id, list_max(e) AS best, list_sort(e, 'DESC')[2] AS second FROM (SELECT vec_id, list_transform(embedding[1:16], lambda x: round(x::DOUBLE, 6)) AS e FROM embeddings)")
 def e21(c: Catalog) -> DataFrame:
     e = F.transform(F.slice("embedding", 1, 16), lambda x: F.round(x.cast("double"), 6))
@@ -101,17 +96,6 @@ def e25(c: Catalog) -> DataFrame:
     return c.raw("color_features").where("dominant_color_rgb is not null").select(F.explode(parts).alias("v")).groupBy(F.floor(F.col("v") * 64 / 256).alias("bin")).agg(count_rows().alias("n"))
 
 
-@query("f07_indoor_vote", "SELECT vec_id, CASE WHEN share >= 0.65 THEN 'outdoor' WHEN share <= 0.35 THEN 'indoor' ELSE 'mixed' END AS vote FROM (SELECT vec_id, round(list_sum(list_transform(list_filter(t, lambda x: x.i % 2 = 0), lambda x: x.v)) / list_sum(list_transform(t, lambda x: x.v)), 9) AS share FROM (SELECT vec_id, list_transform(list_sort(list_transform(range(0, 64), lambda i: {m: -abs(embedding[i + 1]::DOUBLE), i: i}))[1:10], lambda p: {v: -p.m, i: p.i}) AS t FROM embeddings))")
-def f07(c: Catalog) -> DataFrame:
-    """The ten strongest leaves vote; bands at .65 and .35."""
-    pairs = F.slice(F.array_sort(F.transform("embedding", lambda x, i: F.struct((-F.abs(x.cast("double"))).alias("m"), i.alias("i")))), 1, 10)
-    x = c.raw("embeddings").select("vec_id", pairs.alias("t"))
-    total = F.aggregate("t", F.lit(0.0), lambda s, p: s - p["m"])
-    even = F.aggregate("t", F.lit(0.0), lambda s, p: s + F.when(p["i"] % 2 == 0, -p["m"]).otherwise(0.0))
-    share = F.round(even / total, 9)
-    return x.select("vec_id", F.when(share >= 0.65, "outdoor").when(share <= 0.35, "indoor").otherwise("mixed").alias("vote"))
-
-
 @query("f08_margin", "SELECT vec_id, round(s[1] - s[2], 6) AS lead FROM (SELECT vec_id, list_sort(list_transform(embedding[1:12], lambda x: abs(x::DOUBLE)), 'DESC') AS s FROM embeddings)")
 def f08(c: Catalog) -> DataFrame:
     s = F.sort_array(F.transform(F.slice("embedding", 1, 12), lambda x: F.abs(x.cast("double"))), asc=False)
@@ -120,17 +104,18 @@ def f08(c: Catalog) -> DataFrame:
 
 @query("f09_plan_ordinal", with_tables("SELECT library_id, id, row_number() OVER (PARTITION BY library_id ORDER BY lower(nfc_normalize(relative_path)), id) AS ordinal FROM now_assets", "now_assets"))
 def f09(c: Catalog) -> DataFrame:
-    w = Window.partitionBy("library_id").orderBy("k", "id")
-    return c.now_assets.select("library_id", "id", T.comparison_key("relative_path").alias("k")).select("library_id", "id", F.row_number().over(w).cast("bigint").alias("ordinal"))
+    rows = c.now_assets.select("library_id", "id", T.comparison_key("relative_path").alias("k"))
+    return running(rows, ["library_id"], [F.col("k"), F.col("id")], ordinal=F.lit(1)).select("library_id", "id", "ordinal")
 
 
 # ---- G, H
 
 
-@query("g08_collections", with_tables("SELECT id, name FROM now_collections ORDER BY id <> 1, display_order NULLS FIRST, translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') NULLS FIRST, id LIMIT 50", "now_collections"))
+@query("g08_collections", with_tables("SELECT id, name, row_number() OVER (ORDER BY id <> 1, display_order NULLS FIRST, translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') NULLS FIRST, id) AS place FROM now_collections", "now_collections"))
 def g08(c: Catalog) -> DataFrame:
-    """First page of the collection list."""
-    return c.now_collections.orderBy(F.col("id") != 1, F.asc_nulls_first("display_order"), T.ascii_lower("name").asc_nulls_first(), "id").limit(50).select("id", "name")
+    """The collections in the order of their list."""
+    rows = c.now_collections.select("id", "name", "display_order", (F.col("id") != 1).alias("late"), T.ascii_lower("name").alias("low"))
+    return numbered(rows, [F.col("late"), F.asc_nulls_first("display_order"), F.asc_nulls_first("low"), F.col("id")], "place").select("id", "name", "place")
 
 
 @query("h07_dominant_colors", with_tables("SELECT asset_id, list_aggregate(CASE WHEN category IS NOT NULL THEN CASE WHEN coalesce(CAST(coverage AS DECIMAL(6,3)), -1) >= 0.08 AND coalesce(CAST(neutral AS DECIMAL(6,3)), 0) >= 0.08 THEN CASE WHEN category = 'neutral' THEN ['neutral'] ELSE [category, 'neutral'] END WHEN coalesce(CAST(coverage AS DECIMAL(6,3)), -1) >= 0.08 THEN [category] WHEN coalesce(CAST(neutral AS DECIMAL(6,3)), 0) >= 0.08 THEN ['neutral'] ELSE [category] END ELSE ['neutral'] END, 'string_agg', '|') AS colors FROM colour", "colour"))
@@ -176,10 +161,12 @@ def i04(c: Catalog) -> DataFrame:
 # ---- J
 
 
-@query("j02_latest_features", "SELECT asset_id, brightness_mean FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY algorithm_version DESC, brightness_mean DESC NULLS LAST) AS k FROM tone_features WHERE asset_id IS NOT NULL) WHERE k = 1")
+@query("j02_latest_features", "SELECT asset_id, b AS brightness_mean FROM (SELECT asset_id, b, row_number() OVER (PARTITION BY asset_id ORDER BY algorithm_version DESC, b DESC NULLS LAST) AS k FROM (SELECT *, CASE WHEN NOT isnan(brightness_mean) THEN brightness_mean END AS b FROM tone_features WHERE asset_id IS NOT NULL)) WHERE k = 1")
 def j02(c: Catalog) -> DataFrame:
+    """Features of the newest version of each asset; NaN is no value."""
+    rows = c.raw("tone_features").where("asset_id is not null").select("asset_id", "algorithm_version", F.when(~F.isnan("brightness_mean"), F.col("brightness_mean")).alias("brightness_mean"))
     w = Window.partitionBy("asset_id").orderBy(F.desc("algorithm_version"), F.desc_nulls_last("brightness_mean"))
-    return c.raw("tone_features").where("asset_id is not null").withColumn("k", F.row_number().over(w)).where("k = 1").select("asset_id", "brightness_mean")
+    return rows.withColumn("k", F.row_number().over(w)).where("k = 1").select("asset_id", "brightness_mean")
 
 
 @query("j04_touch_seen", with_tables("SELECT a.id, CASE WHEN m.asset_id IS NOT NULL THEN a.last_seen_scan + 1 ELSE a.last_seen_scan END AS last_seen_scan FROM now_assets a LEFT JOIN (SELECT DISTINCT asset_id FROM members) m ON m.asset_id = a.id", "now_assets", "members"))
@@ -276,59 +263,6 @@ def m12(c: Catalog) -> DataFrame:
 # ---- P, Q
 
 
-@query("p_subjects", with_tables("SELECT asset_id, CASE WHEN s >= 0.45 AND f THEN 'multiple_people' WHEN s >= 0.45 THEN 'single_person' WHEN b >= 0.65 THEN 'face' END AS subject FROM (SELECT t.asset_id, c.saturation AS s, t.brightness AS b, coalesce(c.neutral, 0) >= 0.5 AS f FROM tone t JOIN colour c ON c.asset_id = t.asset_id)", "tone", "colour"))
-def p_subjects(c: Catalog) -> DataFrame:
-    """One or several people exclude each other; a face counts only when no person reached its score."""
-    x = c.tone.join(c.colour, "asset_id")
-    person = F.col("saturation") >= 0.45
-    return x.select("asset_id", F.when(person & (F.coalesce("neutral", F.lit(0.0)) >= 0.5), "multiple_people").when(person, "single_person").when(F.col("brightness") >= 0.65, "face").alias("subject"))
-
-
-@query("q03_levels", with_tables("SELECT id, concat_ws('/', first_seen_at[:4], first_seen_at[6:7], coalesce(camera_make, 'unknown'), nullif(extension, '')) AS directory FROM now_assets", "now_assets"))
-def q03(c: Catalog) -> DataFrame:
-    """Levels of which each has its own fallback: unknown, or left out."""
-    ts = F.try_to_timestamp("first_seen_at", F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSX"))
-    return c.now_assets.select("id", F.concat_ws("/", F.date_format(ts, "yyyy"), F.date_format(ts, "MM"), F.coalesce("camera_make", F.lit("unknown")), F.when(F.col("extension") != "", F.col("extension"))).alias("directory"))
-
-
-_ISSUES = "list_filter([CASE WHEN capture_time IS NULL THEN 'capture_time_missing' END, CASE WHEN camera_model IS NULL THEN 'camera_missing' END, CASE WHEN lens_model IS NULL THEN 'lens_missing' END, CASE WHEN file_status <> 'present' THEN 'source_missing' END], lambda x: x IS NOT NULL)"
-
-
-def _issues() -> Column:
-    checks = [F.when(F.col("capture_time").isNull(), "capture_time_missing"), F.when(F.col("camera_model").isNull(), "camera_missing"), F.when(F.col("lens_model").isNull(), "lens_missing"), F.when(F.col("file_status") != "present", "source_missing")]
-    return F.array_compact(F.array(*checks))
-
-
-@query("q04_issues", with_tables(f"SELECT id, unnest({_ISSUES}) AS issue FROM now_assets", "now_assets"))
-def q04(c: Catalog) -> DataFrame:
-    return c.now_assets.select("id", F.explode(_issues()).alias("issue"))
-
-
-@query("q05_extension", with_tables("SELECT id, CASE WHEN lower(file_name) LIKE '%.' || lower(extension) THEN file_name ELSE file_name || '.' || lower(extension) END AS target FROM now_assets", "now_assets"))
-def q05(c: Catalog) -> DataFrame:
-    ext = F.concat(F.lit("."), F.lower("extension"))
-    return c.now_assets.select("id", F.when(T.ascii_lower("file_name").endswith(ext), F.col("file_name")).otherwise(F.concat("file_name", ext)).alias("target"))
-
-
-@query("q07_status", with_tables(f"SELECT library_id, CASE WHEN list_contains({_ISSUES}, 'source_missing') THEN 'error' WHEN len({_ISSUES}) > 0 THEN 'warning' ELSE 'ready' END AS status, count(*) AS items, CAST(sum(file_size) AS BIGINT) AS bytes FROM now_assets GROUP BY ALL", "now_assets"))
-def q07(c: Catalog) -> DataFrame:
-    """Status of each item from its issues, summed up per library (also the plan's summary, E13)."""
-    status = F.when(F.array_contains(_issues(), "source_missing"), "error").when(F.size(_issues()) > 0, "warning").otherwise("ready")
-    return c.now_assets.groupBy("library_id", status.alias("status")).agg(count_rows().alias("items"), F.sum("file_size").alias("bytes"))
-
-
-@query("q01_rule_checks", "SELECT * FROM (VALUES ('{capture_time:yyyy}_{semantic}', NULL), ('{nope}', 'unknown_template_variable: nope'), ('{semantic', 'invalid_template')) AS t(template, issue)")
-def q01(c: Catalog) -> DataFrame:
-    def issue(t: str) -> str | None:
-        try:
-            organize.parse_template(t)
-        except ValueError as e:
-            return str(e)
-        return None
-
-    return c.spark.createDataFrame([(t, issue(t)) for t in ("{capture_time:yyyy}_{semantic}", "{nope}", "{semantic")], "template STRING, issue STRING")
-
-
 # ---- what remains of the other sections
 
 
@@ -361,12 +295,6 @@ def c11(c: Catalog) -> DataFrame:
     return kids.join(c.now_libraries.select(F.col("id").alias("root"), F.col("source_identity_key").alias("key")), "key").select("root", "nested")
 
 
-@query("e13_plan_summary", with_tables(f"SELECT count(*) AS items, count(*) FILTER (list_contains({_ISSUES}, 'source_missing')) AS errors, count(*) FILTER (len({_ISSUES}) > 0) AS flagged, CAST(sum(len({_ISSUES})) AS BIGINT) AS issues, CAST(sum(file_size) AS BIGINT) AS bytes FROM now_assets", "now_assets"))
-def e13(c: Catalog) -> DataFrame:
-    x = c.now_assets.select("file_size", _issues().alias("i"))
-    return x.agg(count_rows().alias("items"), F.count_if(F.array_contains("i", "source_missing")).alias("errors"), F.count_if(F.size("i") > 0).alias("flagged"), F.sum(F.size("i")).alias("issues"), F.sum("file_size").alias("bytes"))
-
-
 @query("e26_savings", with_tables("SELECT CAST(sum(r) AS BIGINT) AS reclaimable, count(*) AS groups FROM (SELECT sum(file_size) - max(file_size) AS r FROM now_assets WHERE fingerprint <> '' AND file_status = 'present' GROUP BY fingerprint HAVING count(*) > 1)", "now_assets"))
 def e26(c: Catalog) -> DataFrame:
     g = c.now_assets.where("fingerprint <> '' and file_status = 'present'").groupBy("fingerprint").agg(count_rows().alias("n"), (F.sum("file_size") - F.max("file_size")).alias("r"))
@@ -406,10 +334,3 @@ def l03(c: Catalog) -> DataFrame:
     return c.raw("libraries").where("created_at is not null").select("id", "created_at", F.unix_millis(ts).alias("ms")).distinct()
 
 
-@query("m13_detections", "SELECT vec_id, round(max(sqrt(abs(a) * abs(b))), 6) AS best FROM (SELECT vec_id, unnest(embedding[1:16])::DOUBLE AS a, unnest(embedding[17:32])::DOUBLE AS b FROM embeddings) WHERE abs(a) >= 0.01 GROUP BY ALL")
-def m13(c: Catalog) -> DataFrame:
-    """Rows of a detector: class score times objectness under a root, weak classes left out, the best one kept."""
-    e = F.col("embedding")
-    pairs = F.arrays_zip(F.slice(e, 1, 16).alias("a"), F.slice(e, 17, 16).alias("b"))
-    x = c.raw("embeddings").select("vec_id", F.explode(pairs).alias("p")).select("vec_id", F.abs(F.col("p.a").cast("double")).alias("a"), F.abs(F.col("p.b").cast("double")).alias("b"))
-    return x.where("a >= 0.01").groupBy("vec_id").agg(F.round(F.max(F.sqrt(F.col("a") * F.col("b"))), 6).alias("best"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,12 +15,22 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors see: ``spark.checkpoint.dir``; a local one is made only where it is unset (tests)."""
+    """Folder that all executors see: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session of one machine gets a temporary folder, deleted at its end; on a cluster, whose
+    executors would each write to a disk of their own, that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="catalith-")
-        _LOCAL[spark.sparkContext.applicationId] = found
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no shared folder")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        folder = tempfile.mkdtemp(prefix="catalith-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL[app] = "file://" + folder
+    return _LOCAL[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

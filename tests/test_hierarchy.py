@@ -3,7 +3,7 @@
 import random
 
 from catalith.operators.components import connected_components
-from catalith.operators.hierarchy import closure, descendants, hierarchy, reach
+from catalith.operators.hierarchy import closure, descendants, hierarchy, reach, subtree_sums
 
 
 def brute(parent):
@@ -86,6 +86,23 @@ def test_descendants_of_trees_rings_and_tails(spark):
     assert descendants(rows.limit(0), "id", "up").count() == 0
 
 
+def test_sums_over_subtrees(spark):
+    p = some_forest(4) | {70: 71, 71: 72, 72: 70, 73: 70, 74: 73, 75: 71}
+    below = {n: {n} for n in p}
+    for n in p:
+        at, seen = p[n], set()
+        while at in p and at not in seen:
+            seen.add(at)
+            at = p[at]
+        for a in seen:
+            below[a].add(n)
+    rows = spark.createDataFrame([(k, v, k % 7, 1) for k, v in p.items()], "id BIGINT, up BIGINT, w BIGINT, one BIGINT")
+    for limit in (50_000, 1):
+        got = {r.node_id: (r.w, r.one) for r in subtree_sums(rows, "id", "up", ("w", "one"), limit).collect()}
+        assert got == {n: (sum(m % 7 for m in ms), len(ms)) for n, ms in below.items()}
+    assert subtree_sums(rows.limit(0), "id", "up", ("w",)).count() == 0
+
+
 def test_deep_chain_and_empty(spark):
     n = 700
     rows = spark.range(1, n).selectExpr("id", "case when id > 1 then id - 1 end as up")
