@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import fresh_path
 from .ranking import running
 
 #: The variables a template may use.
@@ -230,3 +231,24 @@ def target_tree(rows: DataFrame, path: str, size: str) -> DataFrame:
     per = rows.groupBy(T.parent_path(path).alias("d")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b"))
     up = per.select(F.explode(F.concat(F.array(F.lit("")), T.ancestors(F.concat("d", F.lit("/x"))))).alias("directory"), "n", "b")
     return up.groupBy("directory").agg(F.sum("n").alias("files"), F.sum("b").alias("bytes")).withColumn("depth", T.path_depth("directory"))
+
+
+class Plans:
+    """Plans (ordinal, asset_id, target, issues) kept by name in the shared folder: replaced as a whole, read in order, deleted."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path or fresh_path(spark, "plans")
+
+    def save(self, name: str, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/plan={name}")
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/plan={name}").orderBy("ordinal")
+
+    def issues(self, name: str) -> DataFrame:
+        """(ordinal, asset_id, code, severity): one row per issue."""
+        return self.spark.read.parquet(f"{self.path}/plan={name}").select("ordinal", "asset_id", F.explode("issues").alias("i")).select("ordinal", "asset_id", "i.code", "i.severity")
+
+    def delete(self, name: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/plan={name}")
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -17,7 +17,8 @@ from .catalog import CANONICAL, Catalog
 
 VERSION = 2
 SORTS = {"file_name": "file_name", "capture_time": "capture_time", "modified_at": "modified_at", "brightness": "brightness", "saturation": "saturation"}
-FAVOURITES = 1  #: the collection that holds the favourites
+#: Fixed value: the system key of the collection that holds the favourites.
+FAVOURITES = "default_favorites"
 
 
 @dataclass
@@ -147,18 +148,37 @@ def in_scope(c: Catalog, q: AssetQuery, assets: DataFrame, key: str = "asset_id"
             return assets.where(F.col("library_id") == q.root_id)
         tree = c.now_libraries.select("id", F.when(F.col("parent_relation") == "source", F.col("parent_library_id")).alias("parent"))
         return assets.join(reach(tree, "id", "parent", q.root_id).select(F.col("node").alias("library_id")), "library_id", "left_semi")
-    root = FAVOURITES if q.root == "favorites" else q.root_id
-    held = c.members.where(F.col("collection_id") == root)
+    if q.root == "favorites":
+        kept = c.now_collections.where(F.lower("system_key") == FAVOURITES).select(F.col("id").alias("collection_id"))
+        held = c.members.join(kept, "collection_id", "left_semi")
+        return assets.join(held.select(F.col("asset_id").alias(key)), key, "left_semi")
+    held = c.members.where(F.col("collection_id") == q.root_id)
     if q.root == "collection" and q.include_descendants:
-        below = reach(c.now_collections, "id", "parent_collection_id", root).select(F.col("node").alias("collection_id"))
+        below = reach(c.now_collections, "id", "parent_collection_id", q.root_id).select(F.col("node").alias("collection_id"))
         held = c.members.join(below, "collection_id", "left_semi")
     return assets.join(held.select(F.col("asset_id").alias(key)), key, "left_semi")
 
 
-def select(c: Catalog, q: AssetQuery) -> DataFrame:
-    """The rows of a query before order and page; count and page are both taken from it."""
+def columns_of(q: AssetQuery) -> set[str]:
+    """The columns that the filter and the order of a query look at."""
+    f, out = q.filter, {SORTS[q.sort]}
+    for given, names in (
+        (f.primary_categories, ["effective_primary"]), (f.tags, ["effective_tags"]), (f.tones, ["effective_tone"]), (f.palette, ["palette", "manual_color", "category"]), (f.hue_centre is not None, ["histogram"]),
+        (f.saturations, ["effective_saturation_level"]), (f.brightness_min is not None or f.brightness_max is not None, ["brightness"]), (f.saturation_min is not None or f.saturation_max is not None, ["saturation"]),
+    ):
+        if given:
+            out |= set(names)
+    return out
+
+
+def select(c: Catalog, q: AssetQuery, *columns: str) -> DataFrame:
+    """The rows of a query before order and page; count and page are both taken from it.
+
+    With `columns` the rows have these and what the order needs, and only the sides that they and the filter name are
+    joined; else all columns.
+    """
     validate(q)
-    rows = in_scope(c, q, resolved(c))
+    rows = in_scope(c, q, resolved(c, columns_of(q) | set(columns) if columns else None))
     for p in predicates(q.filter):
         rows = rows.where(p)
     return rows
@@ -171,6 +191,6 @@ def ordered(rows: DataFrame, q: AssetQuery) -> DataFrame:
     return rows.orderBy(first, ascii_lower("file_name").asc_nulls_last(), F.col("asset_id"))
 
 
-def page(c: Catalog, q: AssetQuery) -> DataFrame:
+def page(c: Catalog, q: AssetQuery, *columns: str) -> DataFrame:
     number, size = paging(q.page, q.page_size)
-    return ordered(select(c, q), q).offset((number - 1) * size).limit(size)
+    return ordered(select(c, q, *columns), q).offset((number - 1) * size).limit(size)

@@ -45,7 +45,7 @@ def _res(where: str = "true", columns: str = "asset_id, file_name") -> str:
 
 
 def _filtered(c: Catalog, **f) -> DataFrame:
-    return Q.select(c, AssetQuery(filter=AssetFilter(**f))).select("asset_id", "file_name")
+    return Q.select(c, AssetQuery(filter=AssetFilter(**f)), "asset_id", "file_name").select("asset_id", "file_name")
 
 
 # ---- A: scans, sources, sinks
@@ -129,7 +129,7 @@ def b03(c: Catalog) -> DataFrame:
 @query("b04_conjunction", _res("rating >= 3 AND brightness >= 0.3 AND effective_tone IN ('mid_tone', 'high_key') AND color_label IS NOT NULL AND contains(" + _LOWER.format("file_name") + ", 'jpg')"))
 def b04(c: Catalog) -> DataFrame:
     f = AssetFilter(search=" JPG ", ratings=[3], brightness_min=0.3, brightness_max=float("nan"), tones=["mid_tone", "high_key"], color_labels=["red", "yellow", "green", "blue", "purple"])
-    return Q.select(c, AssetQuery(filter=f)).select("asset_id", "file_name")
+    return Q.select(c, AssetQuery(filter=f), "asset_id", "file_name").select("asset_id", "file_name")
 
 
 @query("b06_search", _res(f"contains({_LOWER.format('file_name')}, 'sc_') OR contains({_LOWER.format('relative_path')}, 'sc_')"))
@@ -219,7 +219,7 @@ def b19(c: Catalog) -> DataFrame:
 
 @query("b20_v1_query", _res("rating >= 3 AND asset_id IN (SELECT asset_id FROM collection_assets WHERE collection_id = 1)"))
 def b20(c: Catalog) -> DataFrame:
-    return Q.select(c, Q.from_v1({"favorite_only": True, "library_id": 7, "ratings": [3]})).select("asset_id", "file_name")
+    return Q.select(c, Q.from_v1({"favorite_only": True, "library_id": 7, "ratings": [3]}), "asset_id", "file_name").select("asset_id", "file_name")
 
 
 @query("b23_paging", "SELECT * FROM (VALUES (1, 120), (1, 1), (3, 500), (2, 50)) AS t(page, size)")
@@ -381,7 +381,7 @@ def e01(c: Catalog) -> DataFrame:
 
 @query("e02_count", _res("rating >= 3", "count(*) AS total"))
 def e02(c: Catalog) -> DataFrame:
-    return Q.select(c, AssetQuery(filter=AssetFilter(ratings=[3]))).agg(count_rows().alias("total"))
+    return Q.select(c, AssetQuery(filter=AssetFilter(ratings=[3])), "asset_id").agg(count_rows().alias("total"))
 
 
 @query("e03_collection_counts", with_tables("SELECT c.id, count(m.asset_id) AS members FROM now_collections c LEFT JOIN members m ON m.collection_id = c.id GROUP BY c.id", "now_collections", "members"))
@@ -426,7 +426,7 @@ def e06(c: Catalog) -> DataFrame:
 @query("e07_label_groups", _res("true", "effective_primary AS label, 'p' AS kind").replace("SELECT effective_primary", "SELECT label, count(*) AS assets FROM (SELECT effective_primary", 1) + " AND effective_primary IS NOT NULL UNION ALL SELECT unnest(effective_tags), 't' FROM res) GROUP BY label")
 def e07(c: Catalog) -> DataFrame:
     """Effective primary and every effective tag, repeated tags counted repeatedly."""
-    x = classify.resolved(c)
+    x = classify.resolved(c, {"effective_primary", "effective_tags"})
     return x.select(F.explode(F.concat(F.filter(F.array("effective_primary"), lambda p: p.isNotNull()), F.col("effective_tags"))).alias("label")).groupBy("label").agg(count_rows().alias("assets"))
 
 
@@ -515,7 +515,7 @@ def f05(c: Catalog) -> DataFrame:
 
 def _page(sort: str, direction: str, oracle_order: str) -> None:
     sql = _res("true", "asset_id, file_name") + f" ORDER BY {oracle_order}, {_LOWER.format('file_name')} NULLS LAST, asset_id LIMIT 100 OFFSET 200"
-    query(f"g01_page_{sort}_{direction}", sql)(lambda c: Q.page(c, AssetQuery(sort=sort, direction=direction, page=3, page_size=100)).select("asset_id", "file_name"))
+    query(f"g01_page_{sort}_{direction}", sql)(lambda c: Q.page(c, AssetQuery(sort=sort, direction=direction, page=3, page_size=100), "asset_id", "file_name").select("asset_id", "file_name"))
 
 
 _page("file_name", "asc", f"{_LOWER.format('file_name')} ASC NULLS LAST")
@@ -546,12 +546,12 @@ def h02(c: Catalog) -> DataFrame:
 
 @query("h05_resolve_single", _res("true", "asset_id, effective_primary, CASE WHEN mp IS NOT NULL THEN 'manual' WHEN auto_primary IS NOT NULL THEN 'auto' ELSE 'none' END AS primary_source, effective_tone, CASE WHEN mt IS NOT NULL THEN 'manual' WHEN tone_label IS NOT NULL THEN 'auto' ELSE 'none' END AS tone_source"))
 def h05(c: Catalog) -> DataFrame:
-    return classify.resolved(c).select("asset_id", "effective_primary", "primary_source", "effective_tone", "tone_source")
+    return classify.resolved(c, {"effective_primary", "effective_tone"}).select("asset_id", "effective_primary", "primary_source", "effective_tone", "tone_source")
 
 
 @query("h06_resolve_tags", _res("true", "asset_id, list_aggregate(list_sort(list_transform(effective_tags, lambda x: lower(x))), 'string_agg', '|') AS tags, CASE WHEN len(adds) + len(removes) > 0 AND len(auto_tags) > 0 THEN 'mixed' WHEN len(adds) + len(removes) > 0 THEN 'manual' WHEN len(auto_tags) > 0 THEN 'auto' ELSE 'none' END AS tags_source"))
 def h06(c: Catalog) -> DataFrame:
-    return classify.resolved(c).select("asset_id", F.when(F.size("effective_tags") > 0, F.array_join(F.transform("effective_tags", lambda t: F.lower(t)), "|")).alias("tags"), "tags_source")
+    return classify.resolved(c, {"effective_tags"}).select("asset_id", F.when(F.size("effective_tags") > 0, F.array_join(F.transform("effective_tags", lambda t: F.lower(t)), "|")).alias("tags"), "tags_source")
 
 
 @query("h16_label_catalog", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{g}', {t}::DOUBLE, {str(g == 'scene').lower()}, {i})" for i, (n, g, t) in enumerate(LABELS)) + ") AS x(label, category_group, threshold, is_primary, place)")

@@ -50,12 +50,6 @@ def j05(c: Catalog) -> DataFrame:
     return x.groupBy("library_id").agg(count_rows().alias("seen"), F.count_if(F.col("scan_generation").isNull() | (F.col("last_seen_scan") < F.col("scan_generation"))).alias("missing"))
 
 
-@query("j06_skip_rule", with_tables("SELECT a.id, CASE WHEN a.scan_status <> 'indexed' THEN 'full' WHEN t.asset_id IS NULL THEN 'reanalyse' ELSE 'skip' END AS route FROM now_assets a LEFT JOIN tone t ON t.asset_id = a.id", "now_assets", "tone"))
-def j06(c: Catalog) -> DataFrame:
-    x = c.now_assets.select("id", "scan_status").join(c.tone.select(F.col("asset_id").alias("id"), F.lit(True).alias("f")), "id", "left")
-    return x.select("id", F.when(F.col("scan_status") != "indexed", "full").when(F.col("f").isNull(), "reanalyse").otherwise("skip").alias("route"))
-
-
 _LATEST_EVENT = "(SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS events FROM events GROUP BY ALL)"
 
 

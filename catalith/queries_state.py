@@ -132,14 +132,6 @@ def h08(c: Catalog) -> DataFrame:
     return p.select("asset_id", F.coalesce(big, F.get("e", F.lit(0))["category"]).alias("main"))
 
 
-@query("h10_override_log", with_tables('SELECT asset_id, field, value FROM (SELECT *, row_number() OVER (PARTITION BY asset_id, field ORDER BY "at" DESC, (value IS NOT NULL) DESC, value DESC) AS k FROM (SELECT asset_id, field, value, \'1\' AS "at" FROM overrides UNION ALL SELECT asset_id, \'tone\', CASE WHEN state = \'add\' THEN \'low_key\' END, \'2\' FROM tag_overrides)) WHERE k = 1 AND value IS NOT NULL', "overrides", "tag_overrides"))
-def h10(c: Catalog) -> DataFrame:
-    """Edits as a log folded to the latest per asset and field; a later null withdraws the edit."""
-    first = c.overrides.withColumn("at", F.lit("1"))
-    second = c.tag_overrides.select("asset_id", F.lit("tone").alias("field"), F.when(F.col("state") == "add", "low_key").alias("value"), F.lit("2").alias("at"))
-    return state.fold_log(first.unionByName(second), ["asset_id", "field"], "at", "value").select("asset_id", "field", "value")
-
-
 @query("h14_valid_marks", "SELECT DISTINCT id, rating, color_label, coalesce(rating BETWEEN 0 AND 5, false) AS rating_ok, color_label IS NULL OR color_label IN ('red', 'yellow', 'green', 'blue', 'purple') AS mark_ok FROM assets")
 def h14(c: Catalog) -> DataFrame:
     marks = ["red", "yellow", "green", "blue", "purple"]
@@ -175,11 +167,6 @@ def j04(c: Catalog) -> DataFrame:
     return c.now_assets.select("id", "last_seen_scan").join(seen, "id", "left").select("id", (F.col("last_seen_scan") + F.coalesce("up", F.lit(0))).alias("last_seen_scan"))
 
 
-@query("j08_library_removal", with_tables("SELECT a.id, (SELECT arg_max(l.id, (length(l.source_identity_key), -l.id)) FROM now_libraries l WHERE l.id <> 7 AND starts_with(a.asset_identity_key, l.source_identity_key || '/')) AS new_owner FROM now_assets a WHERE a.library_id = 7", "now_assets", "now_libraries"))
-def j08(c: Catalog) -> DataFrame:
-    return state.reowned(c.now_assets, c.now_libraries, 7)
-
-
 @query("j09_merge_edits", with_tables("SELECT survivor AS asset_id, field, max(value) AS value FROM (SELECT o.*, min(a.id) OVER (PARTITION BY coalesce(a.fingerprint, CAST(a.id AS VARCHAR))) AS survivor FROM now_assets a LEFT JOIN overrides o ON o.asset_id = a.id) WHERE field IS NOT NULL GROUP BY ALL", "now_assets", "overrides"))
 def j09(c: Catalog) -> DataFrame:
     """Edits of copies united under the smallest id of the copies."""
@@ -196,13 +183,6 @@ def j10(c: Catalog) -> DataFrame:
     return c.now_assets.where("file_status = 'present'").join(done, ["id", "fingerprint"], "left_anti").groupBy("library_id").agg(count_rows().alias("items"))
 
 
-@query("j11_stale_results", with_tables("SELECT s.model_version, count(*) AS rows, count(*) FILTER (a.id IS NOT NULL AND a.fingerprint = s.source_fingerprint) AS accepted FROM semantic_outputs s LEFT JOIN now_assets a ON a.id = s.asset_id GROUP BY ALL", "now_assets"))
-def j11(c: Catalog) -> DataFrame:
-    now = c.now_assets.select(F.col("id").alias("asset_id"), F.col("fingerprint").alias("now"))
-    x = c.raw("semantic_outputs").select("asset_id", "model_version", "source_fingerprint").join(now, "asset_id", "left")
-    return x.groupBy("model_version").agg(count_rows().alias("rows"), F.count_if(F.col("now") == F.col("source_fingerprint")).alias("accepted"))
-
-
 @query("j14_progress", "SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'purchase') AS done, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY ALL")
 def j14(c: Catalog) -> DataFrame:
     return c.raw("events").groupBy("user_id").agg(count_rows().alias("total"), F.count_if(F.col("event_type") == "purchase").alias("done"), F.count_if(F.col("event_type") == "error").alias("failed"))
@@ -301,19 +281,6 @@ def e26(c: Catalog) -> DataFrame:
     return g.where("n > 1").agg(F.sum("r").alias("reclaimable"), count_rows().alias("groups"))
 
 
-@query("h11_tag_states", with_tables("SELECT tag_id, count(*) FILTER (state = 'add') AS adds, count(*) FILTER (state = 'remove') AS removes FROM tag_overrides GROUP BY ALL", "tag_overrides"))
-def h11(c: Catalog) -> DataFrame:
-    return c.tag_overrides.groupBy("tag_id").agg(F.count_if(F.col("state") == "add").alias("adds"), F.count_if(F.col("state") == "remove").alias("removes"))
-
-
-@query("h12_restore", with_tables("SELECT a.id, count(o.asset_id) AS withdrawn, a.classification_revision + CASE WHEN count(o.asset_id) > 0 THEN 1 ELSE 0 END AS revision FROM now_assets a LEFT JOIN overrides o ON o.asset_id = a.id GROUP BY a.id, a.classification_revision", "now_assets", "overrides"))
-def h12(c: Catalog) -> DataFrame:
-    """Restoring automatic values: edits withdrawn per asset; the revision rises only where there were any."""
-    per = c.overrides.groupBy(F.col("asset_id").alias("id")).agg(count_rows().alias("n"))
-    n = F.coalesce("n", F.lit(0).cast("bigint"))
-    return c.now_assets.select("id", "classification_revision").join(per, "id", "left").select("id", n.alias("withdrawn"), (F.col("classification_revision") + (n > 0).cast("int")).alias("revision"))
-
-
 @query("j03_failed_assets", "SELECT id, max(last_seen_scan) AS last_scan, CAST(NULL AS INTEGER) AS width, 'not_analyzed' AS semantic_status FROM assets WHERE scan_status = 'failed' GROUP BY id")
 def j03(c: Catalog) -> DataFrame:
     """Failed files keep their identity, lose their dimensions and wait for analysis."""
