@@ -41,8 +41,8 @@ def nearest_rank(rows: DataFrame, key: str, value: str, ranks: dict[str, Column]
 
     Equal values are counted first, so no list of values is collected and a key is spread by ranges of its values.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("k"))
-    upto = running(counts, [key], [F.col(value)], upto=F.col("k"))
-    n = upto.groupBy(F.col(key).alias("_key")).agg(F.max("upto").alias("n"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_count"))
+    upto = running(counts, [key], [F.col(value)], _upto=F.col("_count"))
+    n = upto.groupBy(F.col(key).alias("_key")).agg(F.max("_upto").alias("n"))
     x = upto.join(n, F.col(key).eqNullSafe(F.col("_key")))
-    return x.groupBy(key).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("upto") > rank, F.col(value))).alias(name) for name, rank in ranks.items()])
+    return x.groupBy(key).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("_upto") > rank, F.col(value))).alias(name) for name, rank in ranks.items()])
