@@ -388,3 +388,20 @@ def test_names_in_any_case_and_order_and_short_phones(spark):
     got = {(r.doc_id, r.pii_kind, r.pii_text) for r in pii.find_pii(docs, parts).collect()}
     assert {g for g in got if g[1] == "name"} == {(0, "name", "ravi talwick"), (1, "name", "Talwick Ravi"), (3, "name", "RAVI k. talwick")}
     assert {g[2] for g in got if g[1] == "phone"} == {"020 7946 0958", "020 7946 0123", "040 123456"}
+
+
+def test_functions_travel_without_the_package(tmp_path):
+    """What tasks run is pickled by value: a process that cannot import the package can load and call it."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from catalith.llm import clusters, survivors
+    from catalith.operators import references
+
+    held = [clusters.hashed, clusters._link(0.9, 0.1), neighbours._search(neighbours.Index(np.zeros((1, 64)), np.zeros((8, 256, 8))), 5, 0.9), pii._scan, pii._scan_loose(None), pii._disjoint, leakage._signatures(12), leakage._verify(12), survivors._fold(1), survivors._skyline, references._and_not, mixing._node(1)]
+    (tmp_path / "held").write_bytes(cloudpickle.dumps(held))
+    code = "import pickle, numpy as np; f = pickle.load(open('held', 'rb')); print(len(f), f[0](np.ones((2, 64)), np.ones((2, 2))).shape)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"})
+    assert done.stdout.split()[0] == "12", done.stderr[-500:]
