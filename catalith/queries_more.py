@@ -174,7 +174,11 @@ def m06(c: Catalog) -> DataFrame:
     return _rgb(c).select("rgb", F.round(K.hsv_saturation(r, g, b), 6).alias("saturation"), F.round(K.luma(r, g, b), 6).alias("luma"))
 
 
-@query("m07_category")
+_LMS = f"SELECT rgb, r, g, b, greatest(r, g, b) AS mx, least(r, g, b) AS mn, cbrt(0.4122214708 * {_lin('r')} + 0.5363325363 * {_lin('g')} + 0.0514459929 * {_lin('b')}) AS l, cbrt(0.2119034982 * {_lin('r')} + 0.6806995451 * {_lin('g')} + 0.1073969566 * {_lin('b')}) AS m, cbrt(0.0883024619 * {_lin('r')} + 0.2817188376 * {_lin('g')} + 0.6299787005 * {_lin('b')}) AS s FROM {_RGB}"
+_LCH = f"SELECT rgb, 0.2104542553 * l + 0.7936177850 * m - 0.0040720468 * s AS light, sqrt(pow(1.9779984951 * l - 2.4285922050 * m + 0.4505937099 * s, 2) + pow(0.0259040371 * l + 0.7827717662 * m - 0.8086757660 * s, 2)) AS chroma, CASE WHEN mx = mn THEN 0 WHEN mx = r THEN (60 * (g - b) / (mx - mn) + 360) % 360 WHEN mx = g THEN 60 * ((b - r) / (mx - mn) + 2) ELSE 60 * ((r - g) / (mx - mn) + 4) END AS h FROM ({_LMS})"
+
+
+@query("m07_category", f"SELECT rgb, CASE WHEN chroma < CASE WHEN light < 0.12 THEN 0.025 WHEN light > 0.96 THEN 0.012 ELSE 0.0085 END THEN 'neutral' WHEN h < 15 OR h >= 315 THEN 'red' WHEN h < 45 THEN 'orange' WHEN h < 70 THEN 'yellow' WHEN h < 165 THEN 'green' WHEN h < 195 THEN 'cyan' WHEN h < 255 THEN 'blue' ELSE 'purple' END AS category FROM ({_LCH})")
 def m07(c: Catalog) -> DataFrame:
     """Colour category of each dominant colour: accent test on OKLab chroma, then bands of hue."""
     r, g, b = F.col("r"), F.col("g"), F.col("b")
@@ -260,7 +264,11 @@ def _candidates(c: Catalog) -> DataFrame:
     return pairs.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct()
 
 
-@query("o05_components")
+_DOT = "list_dot_product({0}.embedding::DOUBLE[], {1}.embedding::DOUBLE[])"
+_EDGES = f"WITH RECURSIVE c AS (SELECT DISTINCT least(x.vec_id, y.vec_id) AS a, greatest(x.vec_id, y.vec_id) AS b FROM {_BUCKETS} x JOIN {_BUCKETS} y ON x.bucket = y.bucket AND y.place BETWEEN x.place + 1 AND x.place + 96), e AS (SELECT a, b FROM c JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b WHERE {_DOT.format('x', 'y')} / sqrt({_DOT.format('x', 'x')} * {_DOT.format('y', 'y')}) >= 0.35)"
+
+
+@query("o05_components", f"{_EDGES}, two AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS top FROM two UNION SELECT two.b, r.top FROM r JOIN two ON two.a = r.node) SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM (SELECT node, min(top) AS component FROM r GROUP BY node)")
 def o05(c: Catalog) -> DataFrame:
     """Candidate pairs above a similarity, joined to components, with their sizes."""
     e = c.raw("embeddings")
