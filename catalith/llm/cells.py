@@ -35,6 +35,8 @@ def visits(x: np.ndarray, centres: np.ndarray, radius: float, slack: float | Non
     sure = radius / 2 + 1e-4
     home = np.empty(len(x), np.int32)
     half = (centres * centres).sum(1) / 2
+    wide = centres.astype(np.float64)
+    exact = (wide * wide).sum(1) / 2
     rows, cells = [], []
     block = max(16, min(kmeans.BLOCK, 4_000_000 // max(1, len(centres))))
     for at in range(0, len(x), block):
@@ -43,11 +45,13 @@ def visits(x: np.ndarray, centres: np.ndarray, radius: float, slack: float | Non
         own = score.argmin(axis=1)
         home[at : at + block] = own
         used, back = np.unique(own, return_inverse=True)
-        apart = np.sqrt(np.maximum(2 * (half[used][:, None] + half[None] - centres[used] @ centres.T), 1e-12))
-        border = (score - score[every, own][:, None]) / apart[back]
-        border[every, own] = np.inf
+        apart = np.sqrt(np.maximum(2 * (exact[used][:, None] + exact[None] - wide[used] @ wide.T), 1e-12)).astype(np.float32)[back]
+        beyond = score - score[every, own][:, None]
+        beyond[every, own] = np.inf
+        border = beyond / apart
+        within = beyond <= sure * apart + 2e-5  # float32 is not exact enough to be divided by the distance of close centres
         if slack is None:
-            near = border <= sure
+            near = within
         else:
             near = border <= min(slack, sure)
             many = np.flatnonzero(near.sum(axis=1) > MOST_VISITS)
@@ -55,17 +59,17 @@ def visits(x: np.ndarray, centres: np.ndarray, radius: float, slack: float | Non
                 near[many] &= border[many] <= np.partition(border[many], MOST_VISITS - 1, axis=1)[:, MOST_VISITS - 1][:, None]
             thick = np.flatnonzero(dense[own])
             if len(thick):
-                near[thick] |= (border[thick] <= sure) & dense
+                near[thick] |= within[thick] & dense
         r, c = np.nonzero(near)
         rows.append(r + at), cells.append(c)
     return home, np.concatenate(rows) if rows else np.zeros(0, np.int64), np.concatenate(cells).astype(np.int32) if cells else np.zeros(0, np.int32)
 
 
-def place(rows: DataFrame, centres: np.ndarray, radius: float, slack: float | None, decode: Callable[[pa.RecordBatch], np.ndarray], columns: list[str], of_unit: np.ndarray | None = None) -> DataFrame:
+def place(rows: DataFrame, centres: np.ndarray, radius: float, slack: float | None, decode: Callable[[pa.RecordBatch], np.ndarray], columns: list[str], of_unit: np.ndarray | None = None, larger: int = 1) -> DataFrame:
     """(cell, i, j, role, columns): rows (id BIGINT, ...) once for each block of pairs they take part in, partitioned by (cell, i, j).
 
     role is 1 for a row at home, 2 for one that the home rows of the block are compared with, 3 for both. Cells are
-    counted first: one with more than HOME_BLOCK home rows or ALL_BLOCK visitors is compared in blocks against
+    counted first: one with more than HOME_BLOCK home rows or ALL_BLOCK visitors, `larger` times as many, is compared in blocks against
     blocks, and the partitions are as many as the counted bytes need, so no task grows with the table. of_unit: the columns of unit vectors among the features, all unless given; the
     mean of unit vectors is the shorter the more they differ, which tells dense cells.
     """
@@ -84,8 +88,8 @@ def place(rows: DataFrame, centres: np.ndarray, radius: float, slack: float | No
 
     home_blocks, all_blocks, total = np.ones(n, np.int64), np.ones(n, np.int64), 0
     for r in rows.mapInArrow(count, "cell INT, home BIGINT, every BIGINT").groupBy("cell").agg(F.sum("home").alias("home"), F.sum("every").alias("every")).collect():  # one row per cell
-        home_blocks[r["cell"]] = hb = max(1, -(-r["home"] // HOME_BLOCK))
-        all_blocks[r["cell"]] = ab = max(1, -(-r["every"] // ALL_BLOCK))
+        home_blocks[r["cell"]] = hb = max(1, -(-r["home"] // (HOME_BLOCK * larger)))
+        all_blocks[r["cell"]] = ab = max(1, -(-r["every"] // (ALL_BLOCK * larger)))
         total += r["home"] * (ab - 1) + r["every"] * hb
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,10 @@ WEIGHTS = (1.0, 1.0)  #: of the extra features beside the unit vector
 WHOLE = 4000  #: members of a component whose pairs one task holds in one matrix
 TILE = 4096  #: members of a larger one on each side of a block of pairs
 ROWS = 512  #: rows of a block that are compared at once
+COLUMNS = 8192  #: rows that they are compared with at once
+HELD = 500_000  #: links of a task that are held before they are merged
+LARGER = 8  #: times the usual blocks of a cell, as the cells that miss no link are few and large
+COPIED = 2e-7  #: by which the cosines of two copies, equal in float32, to another record may differ
 STEPS = 200_000  #: branches that the search for a largest clique may take before the best one found stands
 
 
@@ -49,15 +53,19 @@ def _features(batch: pa.RecordBatch) -> np.ndarray:
     return hashed(unit(kmeans.matrix(batch["vec"], DIMS)), np.column_stack([batch[c].to_numpy() for c in EXTRA]))
 
 
-def similar(x: np.ndarray, y: np.ndarray, bx: np.ndarray, by: np.ndarray, cosine: float, apart: float) -> np.ndarray:
-    """Which pairs of unit vectors (float64) and feature rows are similar; exact, with decimals of features rounded to nine digits."""
+def similar(x: np.ndarray, y: np.ndarray, bx: np.ndarray, by: np.ndarray, cosine: float, apart: float, joined: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Which pairs of unit vectors (float64) and feature rows are similar; exact, with decimals of features rounded to nine digits.
+
+    joined: the components of the rows so far; where many pairs may be similar, those within one component are left out.
+    """
     s = x.astype(np.float32) @ y.astype(np.float32).T
     near = s >= cosine - 1e-4
-    i, j = np.nonzero(near & (s < cosine + 1e-4))
-    if len(i):
-        near[i, j] = np.einsum("ij,ij->i", x[i], y[j]) >= cosine - 1e-12
+    if joined is not None and np.count_nonzero(near) > near.size // 64:
+        near &= joined[0][:, None] != joined[1]
     i, j = np.nonzero(near)
     far = (np.abs(np.round(bx[i] - by[j], 9)) > apart).any(axis=1)
+    edge = np.flatnonzero(~far & (s[i, j] < cosine + 1e-4))
+    far[edge] = np.einsum("ij,ij->i", x[i[edge]], y[j[edge]]) < cosine - 1e-12
     near[i[far], j[far]] = False
     return near
 
@@ -80,33 +88,55 @@ def _link(cosine: float, apart: float):
         x = unit(kmeans.matrix(pdf["vec"].iloc[first].tolist(), DIMS))
         f = pdf[list(EXTRA)].to_numpy()[first]
         home, every = home[np.argsort(f[home, 0])], every[np.argsort(f[every, 0])]
-        bright = f[every, 0]
-        label = np.arange(len(ids))
-        for b in range(0, len(home), ROWS):
-            h = home[b : b + ROWS]
-            low, high = np.searchsorted(bright, [f[h[0], 0] - apart - 1e-6, f[h[-1], 0] + apart + 1e-6])
-            some = every[low:high]
-            i, j = np.nonzero(similar(x[h], x[some], f[h], f[some], cosine, apart))
-            label = _components(len(ids), np.concatenate([h[i], np.arange(len(ids))]), np.concatenate([some[j], label]))
+        label, held = np.arange(len(ids)), []
+
+        def between(rows: np.ndarray, c: int, low: float, high: float) -> np.ndarray:
+            """Those of `rows`, sorted by feature c, that lie within its range of what lies from low to high."""
+            first, last = np.searchsorted(f[rows, c], [low - apart - 1e-6, high + apart + 1e-6])
+            return rows[first:last]
+
+        def merged() -> np.ndarray:
+            i, j = (np.concatenate(v) for v in zip(*held, (np.arange(len(ids)), label)))
+            held.clear()
+            return _components(len(ids), i, j)
+
+        slab = max(ROWS, math.isqrt(len(home) * ROWS))  # of one brightness; sorted by saturation, as what it is compared with
+        for a in range(0, len(home), slab):
+            part = home[a : a + slab]
+            some = between(every, 0, f[part[0], 0], f[part[-1], 0])
+            part, some = part[np.argsort(f[part, 1])], some[np.argsort(f[some, 1])]
+            for b in range(0, len(part), ROWS):
+                h = part[b : b + ROWS]
+                other = between(some, 1, f[h[0], 1], f[h[-1], 1])
+                for c in range(0, len(other), COLUMNS):
+                    o = other[c : c + COLUMNS]
+                    i, j = np.nonzero(similar(x[h], x[o], f[h], f[o], cosine, apart, (label[h], label[o])))
+                    held.append((h[i], o[j]))
+                    if sum(len(i) for i, _ in held) > HELD:
+                        label = merged()
+        label = merged()
         linked = label != np.arange(len(ids))
         return pd.DataFrame({"a": ids[linked], "b": ids[label[linked]]})
 
     return run
 
 
-def similarity_links(base: DataFrame, cosine: float, apart: float, lists: int | None = None, slack: float | None = cells.SLACK) -> DataFrame:
+def similarity_links(base: DataFrame, cosine: float, apart: float, lists: int | None = None, slack: float | None = None) -> DataFrame:
     """(a, b): a spanning set of links between similar records, at most one per record and task.
 
-    base (id, vec, brightness, saturation). The cells are those of a k-means fitted on all records, about the square
-    root of their number; the records of a cell are compared, exactly, with each other and with all that visit it
-    from neighbouring cells (see cells.visits); with slack=None no link can be missed. A cell too large for one task is compared in blocks against blocks.
+    base (id, vec, brightness, saturation). The cells are those of a k-means fitted on all records; the records of a
+    cell are compared, exactly, with each other and with all that visit it from other cells. Each record visits every
+    cell that can hold a similar one, so no link is missed (see cells.visits). The cells are few, as copies grow with
+    their number while nearly as many pairs are left to compare; within a cell brightness and saturation are sorted,
+    so that only rows within their range are compared. A `slack` leaves out visits, and with them links; the cells
+    are then about the square root of the records. A cell too large for one task is compared in blocks against blocks.
     """
     n = base.count()
-    centres = kmeans.fit(base, lists or max(1, math.isqrt(n)), int(COLUMN.max()) + 1, decode=_features)
+    centres = kmeans.fit(base, lists or max(1, round(n**0.25) if slack is None else math.isqrt(n)), int(COLUMN.max()) + 1, decode=_features)
     if len(centres) == 0:
         return base.select(F.col("id").alias("a"), F.col("id").alias("b"))
     radius = math.sqrt(SHARED * (2 - 2 * cosine + sum((w * apart) ** 2 for w in WEIGHTS)))
-    placed = cells.place(base, centres, radius, slack, _features, ["id", "vec", *EXTRA], np.unique(COLUMN[:DIMS]))
+    placed = cells.place(base, centres, radius, slack, _features, ["id", "vec", *EXTRA], np.unique(COLUMN[:DIMS]), LARGER if slack is None else 1)
     return placed.groupBy("cell", "i", "j").applyInPandas(_link(cosine, apart), "a BIGINT, b BIGINT")
 
 
@@ -318,11 +348,11 @@ def with_cosine(rows: DataFrame, group: str) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
-def similarity_clusters(base: DataFrame, cosine: float = 0.92, apart: float = 0.10, slack: float | None = cells.SLACK) -> DataFrame:
+def similarity_clusters(base: DataFrame, cosine: float = 0.92, apart: float = 0.10, slack: float | None = None) -> DataFrame:
     """(cluster_id, asset_id): sets of two or more mutually similar records, cluster_id the smallest id of each.
 
     base (id, vec, brightness, saturation), one row per id; rows with a null are left out. Exact copies are merged
-    first and linked to the smallest id of theirs. Links from k-means cells (`slack` as there; None misses no link) are joined to components.
+    first and linked to the smallest id of theirs. Links from k-means cells, of which none is missed unless `slack` is given, are joined to components.
     A component whose members all lie within half the angle of its centroid, and within the allowed range of both
     features, is mutually similar as a whole; that takes one pass however large it is. The others are verified pair
     by pair, and where not all are similar, split into cliques, a largest one at a time. Components of more than
@@ -337,7 +367,7 @@ def similarity_clusters(base: DataFrame, cosine: float = 0.92, apart: float = 0.
     if (firsts.measured["most"] or 0) > 1:
         single = materialise(base.join(firsts.select(F.col("first").alias("id")), "id", "left_semi"), "single")
         copies = keyed.join(firsts.where("n > 1").select(*same, "first"), same).where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-        links = materialise(similarity_links(single, cosine, apart, slack=slack).unionByName(copies), "links")
+        links = materialise(similarity_links(single, cosine - COPIED, apart, slack=slack).unionByName(copies), "links")
         discard(single)
     else:
         links = materialise(similarity_links(base, cosine, apart, slack=slack), "links")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalith.llm import cells, kmeans, leakage, mixing, neighbours, pii
-from catalith.llm.clusters import cliques, similarity_clusters, typical_members
+from catalith.llm.clusters import cliques, similarity_clusters, similarity_links, typical_members
 from catalith.llm.common import words
 from catalith.llm.survivors import best_records, most_common
 from catalith.llm.vectors import packed, unit
@@ -154,6 +154,53 @@ def test_similar_rows_meet_in_a_cell():
     assert len(rows) == len(cells.visits(x, centres, 0.5, None, none)[1])
 
 
+def across_a_border(pairs=20, spread=200):
+    """Two loose groups on both sides of a plane, and pairs at a cosine of 0.92 or more whose lines go straight across it."""
+    r = np.random.default_rng(12)
+    side = np.concatenate([np.ones(spread), -np.ones(spread)]) * 0.6
+    groups = np.column_stack([side, unit(r.normal(size=(2 * spread, 63))) * 0.8])
+    middle = unit(r.normal(size=(pairs, 63)))
+    ends = [np.column_stack([np.full(pairs, e), middle * math.sqrt(1 - e * e)]) for e in (0.199, -0.199)]
+    return np.vstack([*ends, groups]).astype(np.float32)
+
+
+def test_links_straight_across_a_border_are_found(spark):
+    x = across_a_border()
+    u = unit(x)
+    near = u @ u.T >= 0.92
+    expected = {(i * 3 + 1, j * 3 + 1) for i, j in zip(*np.nonzero(np.triu(near, 1)))}
+    assert len(expected) == 20
+    for lists in (2, 5, 21, None):
+        got = similarity_links(base(spark, x), 0.92, 0.1, lists).collect()
+        assert {(min(r), max(r)) for r in got} == expected
+    assert {(r.cluster_id, r.asset_id) for r in similarity_clusters(base(spark, x)).collect()} == {(a, c) for a, b in expected for c in (a, b)}
+
+
+def test_close_centres_are_visited():
+    centre = unit(np.random.default_rng(2).normal(size=(1, 64)))[0]
+    x = unit(centre + np.random.default_rng(3).normal(size=(300, 64)) * 1e-5).astype(np.float32)
+    home, rows, to = cells.visits(x, x[:40], 0.4, None, np.zeros(40, bool))
+    assert len(rows) == 300 * 39
+
+
+def test_blocks_and_bands_link_as_brute_force_does(spark, monkeypatch):
+    import catalith.llm.clusters as module
+
+    r = np.random.default_rng(14)
+    x = np.repeat(unit(r.normal(size=(60, 64))), 5, axis=0) + r.normal(size=(300, 64)) * 0.03
+    x, f = x.astype(np.float32), np.round(r.uniform(0, 0.4, (300, 2)), 2)  # many differ by 0.1 exactly
+    u = unit(x)
+    near = (u @ u.T >= 0.92) & (np.abs(np.round(f[:, None] - f[None], 9)) <= 0.1).all(2)
+    label = module._components(300, *np.nonzero(near))
+    assert 60 < len(set(label)) < 250
+    for name, value in (("ROWS", 7), ("COLUMNS", 11), ("HELD", 50), ("LARGER", 2)):
+        monkeypatch.setattr(module, name, value)
+    monkeypatch.setattr(cells, "HOME_BLOCK", 16)
+    monkeypatch.setattr(cells, "ALL_BLOCK", 32)
+    links = np.array([[(v - 1) // 3 for v in r] for r in similarity_links(base(spark, x, f), 0.92, 0.1, 3).collect()])
+    assert (module._components(300, links[:, 0], links[:, 1]) == label).all()
+
+
 def test_the_largest_clique_is_found():
     import itertools
 
